@@ -39,14 +39,18 @@ def title_case(value: Column) -> Column:
     return F.when(value.rlike("^[A-Za-z ]*$"), F.initcap(value)).otherwise(general)
 
 
-def categorical(value: Column, null_token: str = "Nan") -> Column:
-    """Stripped, title-cased category with yes/no spellings unified."""
-    titled = title_case(strip(F.coalesce(value.cast("string"), F.lit(null_token))))
+def titled(value: Column, null_token: str = "Nan") -> Column:
+    """Stripped and title-cased string of a category."""
+    return title_case(strip(F.coalesce(value.cast("string"), F.lit(null_token))))
+
+
+def unified(value: Column) -> Column:
+    """Spellings of yes, no and unknown brought together, for a title-cased category."""
     return (
-        F.when(titled.isin(*YES_WORDS), F.lit("YES"))
-        .when(titled.isin(*NO_WORDS), F.lit("NO"))
-        .when(titled.isin(*UNKNOWN_WORDS), F.lit("Unknown"))
-        .otherwise(titled)
+        F.when(value.isin(*YES_WORDS), F.lit("YES"))
+        .when(value.isin(*NO_WORDS), F.lit("NO"))
+        .when(value.isin(*UNKNOWN_WORDS), F.lit("Unknown"))
+        .otherwise(value)
     )
 
 

@@ -51,9 +51,10 @@ def normalize_categorical(
     df: DataFrame, columns: Sequence[str], null_token: str = "Nan"
 ) -> DataFrame:
     """Stripped, title-cased categories with yes/no spellings unified."""
-    return df.withColumns(
-        {c: text.categorical(F.col(c), null_token) for c in present(df, columns)}
-    )
+    columns = present(df, columns)
+    # Two projections, so that the title case is worked out once and looked up after.
+    df = df.withColumns({c: text.titled(F.col(c), null_token) for c in columns})
+    return df.withColumns({c: text.unified(F.col(c)) for c in columns})
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

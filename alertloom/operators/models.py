@@ -13,8 +13,12 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import UnivariateFeatureSelector, UnivariateFeatureSelectorModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import (
+    Normalizer,
+    UnivariateFeatureSelector,
+    UnivariateFeatureSelectorModel,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,8 +219,9 @@ def _run(rows: DataFrame, fitted, i: int) -> tuple[DataFrame, Column]:
         rows = model.transform(rows)
         # A booster's margin m stands for the probability 1 / (1 + exp(-2m)).
         scores = F.transform(vector_to_array(out["raw"]), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
-        return rows, F.transform(scores, lambda x: x / total)
+        shares = Normalizer(p=1.0, inputCol=f"_scores{i}", outputCol=out["probability"])
+        rows = shares.transform(rows.withColumn(f"_scores{i}", array_to_vector(scores)))
+        return rows, vector_to_array(out["probability"])
     model = fitted.copy()
     model.setPredictionCol(out["prediction"]).setRawPredictionCol(out["raw"])
     model.setProbabilityCol(out["probability"])

@@ -122,14 +122,14 @@ def guard_rows(df: DataFrame, is_training: bool, min_rows: int = 1) -> DataFrame
 
 
 def validate_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per numeric column: how many non-null values are not numbers."""
+    """Per numeric column: how many values are neither numbers nor null or empty."""
     there = present(df, columns)
-    counts = df.agg(
-        *[
-            F.count_if(F.col(c).isNotNull() & number.parse(F.col(c)).isNull()).alias(c)
-            for c in there
-        ]
-    )
+
+    def bad(c: str):
+        text = F.col(c).cast("string")
+        return text.isNotNull() & (text != "") & number.parse(text).isNull()
+
+    counts = df.agg(*[F.count_if(bad(c)).alias(c) for c in there])
     report = [
         F.struct(
             F.lit(c).alias("column"), F.col(c).alias("bad_values"), (F.col(c) == 0).alias("valid")

@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    StringIndexerModel,
+    VectorAssembler,
+    VectorSizeHint,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,41 +119,43 @@ def constant_array(values: Sequence[str]) -> Column:
     return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
-def _weights(df: DataFrame, column: str, terms: Sequence[str], idf: Sequence[float], params: TextParams, name: str) -> DataFrame:
-    """Add the array of L2-normalised weights, one per vocabulary term.
+def _weights(
+    df: DataFrame, column: str, vocabulary: DataFrame, params: TextParams, name: str
+) -> DataFrame:
+    """Add the vector of L2-normalised weights, one place per vocabulary term.
 
-    Counting is a hash lookup within the row, so nothing is shuffled. The vocabulary
-    is bounded by `max_features`.
+    Counting is a hash lookup within the row, so nothing is shuffled, and plain counts
+    stay sparse throughout. Each step is an ML transformer on one column: the same
+    steps as array lambdas would be inlined and repeated for every element.
     """
+    # At most max_features rows.
+    vocab = vocabulary.orderBy("idx").select("term", "idf").collect()
     rows = with_terms(df, column, params.ngrams)
-    counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol=_TERMS, outputCol="_counts")
-    counted = counter.transform(rows).withColumn(name, vector_to_array("_counts"))
-    idf_values = constant_array([repr(float(x)) for x in idf]).cast("array<double>")
-
-    def weigh(tf: Column, factor: Column) -> Column:
-        scaled = 1.0 + F.log(tf) if params.sublinear else tf
-        return F.when(tf > 0, scaled * factor).otherwise(0.0)
-
-    counted = counted.withColumn(name, F.zip_with(name, idf_values, weigh))
-    squares = F.aggregate(name, F.lit(0.0), lambda acc, w: acc + w * w)
-    counted = counted.withColumn("_norm", F.sqrt(squares))
-    return counted.withColumn(
-        name, F.transform(name, lambda w: F.when(F.col("_norm") > 0, w / F.col("_norm")).otherwise(0.0))
-    ).drop(_TERMS, "_counts", "_norm")
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in vocab], inputCol=_TERMS, outputCol="_counts"
+    )
+    rows = counter.transform(rows)
+    if params.sublinear:
+        damped = F.transform(
+            vector_to_array("_counts"), lambda tf: F.when(tf > 0, 1.0 + F.log(tf)).otherwise(0.0)
+        )
+        rows = rows.withColumn("_counts", array_to_vector(damped))
+    scale = ElementwiseProduct(
+        scalingVec=Vectors.dense([r["idf"] for r in vocab]), inputCol="_counts", outputCol="_scaled"
+    )
+    norm = Normalizer(p=2.0, inputCol="_scaled", outputCol=name)
+    size = VectorSizeHint(inputCol=name, size=len(vocab), handleInvalid="optimistic")
+    return size.transform(norm.transform(scale.transform(rows))).drop(_TERMS, "_counts", "_scaled")
 
 
 def transform_tfidf(
     df: DataFrame, column: str, key: Sequence[str], vocabulary: DataFrame, params: TextParams
 ) -> DataFrame:
     """(key..., term, weight): non-zero weights, each row of norm 1 (or absent)."""
-    vocab = vocabulary.orderBy("idx").select("term", "idf").collect()  # <= max_features rows
-    terms = constant_array([r["term"] for r in vocab])
-    weighted = _weights(
-        df.select(*key, column), column, [r["term"] for r in vocab], [r["idf"] for r in vocab],
-        params, "_weights",
-    )
+    terms = constant_array([r["term"] for r in vocabulary.orderBy("idx").select("term").collect()])
+    weighted = _weights(df.select(*key, column), column, vocabulary, params, "_weights")
     return (
-        weighted.select(*key, F.posexplode("_weights").alias("_i", "weight"))
+        weighted.select(*key, F.posexplode(vector_to_array("_weights")).alias("_i", "weight"))
         .where("weight > 0")
         .select(*key, F.element_at(terms, F.col("_i") + 1).alias("term"), "weight")
     )
@@ -278,10 +288,7 @@ def assemble(
     needed = [c for c in df.columns if c in {*keep, *inputs}]
     rows = df.select(*needed)
     for i, (c, (vocabulary, params)) in enumerate(fitted.texts.items()):
-        vocab = vocabulary.orderBy("idx").select("term", "idf").collect()
-        rows = _weights(
-            rows, c, [r["term"] for r in vocab], [r["idf"] for r in vocab], params, f"_text{i}"
-        ).withColumn(f"_text{i}", array_to_vector(f"_text{i}"))
+        rows = _weights(rows, c, vocabulary, params, f"_text{i}")
         blocks.append(f"_text{i}")
     if fitted.categorical:
         rows = ordinal_encode(rows, fitted.codes, fitted.categorical, suffix="__code")

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from alertloom.spec import CSV_NULLS, flat
 
 
+_WRITE_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def flatten_names(df: DataFrame) -> DataFrame:
     """Dots in column names become `__`."""
     return df.toDF(*[flat(c) for c in df.columns])
@@ -48,12 +57,8 @@ def read_alerts_csv(
 
 
 def write_alerts_csv(df: DataFrame, path: str) -> None:
-    """Header CSV with dotted names and doubled quotes."""
-    (
-        dotted_names(df).write.mode("errorifexists")
-        .option("header", True).option("quote", '"').option("escape", '"')
-        .csv(path)
-    )
+    """Header CSV with dotted names, doubled quotes and values as they are."""
+    dotted_names(df).write.mode("errorifexists").options(**_WRITE_OPTIONS).csv(path)
 
 
 def write_splits(labelled: DataFrame, path: str, split: str = "split") -> None:
@@ -62,7 +67,7 @@ def write_splits(labelled: DataFrame, path: str, split: str = "split") -> None:
         dotted_names(labelled.where(F.col(split).isNotNull()))
         .write.mode("errorifexists")
         .partitionBy(split)
-        .option("header", True).option("quote", '"').option("escape", '"')
+        .options(**_WRITE_OPTIONS)
         .csv(path)
     )
 
