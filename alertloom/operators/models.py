@@ -192,40 +192,50 @@ def _fit_one(
     classes = [r["old"] for r in dense.orderBy("new").select("old").collect()]
     if len(classes) < 2:
         return None
-    known = dense.select(F.col("old").alias(code), F.col("new").cast("double").alias("label"))
+    # The number of classes is told to Spark ML, which otherwise guesses it, up to 100.
+    about = {"ml_attr": {"type": "nominal", "num_vals": len(classes)}}
+    known = dense.select(F.col("old").alias(code), F.col("new").cast("double").alias("_new"))
     rows = matrix.select(FEATURES, code).join(broadcast_if_small(known), code)
+    rows = rows.withColumn("label", F.col("_new").alias("label", metadata=about)).drop("_new")
     classifier = classifier_for(params, len(classes))
     if balance:
         weights = balanced_weights(matrix, code).select(F.col("class").alias(code), "weight")
         rows = rows.join(broadcast_if_small(weights), code)
         classifier.setWeightCol("weight")
     fitted = classifier.fit(rows)
-    right = fitted.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")))
-    return TargetModel(target, fitted, [int(c) for c in classes], right.first()[0])
+    return TargetModel(target, fitted, [int(c) for c in classes], train_accuracy(rows, fitted))
 
 
-# --- Scoring ----------------------------------------------------------------
+def train_accuracy(rows: DataFrame, fitted) -> float:
+    """Share of rows whose predicted position equals their `label`."""
+    right = (F.col("_pred0") == F.col("label")).cast("double")
+    return run_classifier(rows, fitted, 0).agg(F.avg(right)).first()[0]
 
 
-def _output_columns(i: int) -> dict[str, str]:
-    return {"prediction": f"_pred{i}", "raw": f"_raw{i}", "probability": f"_prob{i}"}
+# --- Scoring ----------------------------------------------------------------
 
 
-def _run(rows: DataFrame, fitted, i: int) -> tuple[DataFrame, Column]:
-    """Add the prediction of one classifier; return it with its probability array."""
-    out = _output_columns(i)
-    if isinstance(fitted, OneVsRestModel):
-        model = fitted.copy().setPredictionCol(out["prediction"]).setRawPredictionCol(out["raw"])
-        rows = model.transform(rows)
-        # A booster's margin m stands for the probability 1 / (1 + exp(-2m)).
-        scores = F.transform(vector_to_array(out["raw"]), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        shares = Normalizer(p=1.0, inputCol=f"_scores{i}", outputCol=out["probability"])
-        rows = shares.transform(rows.withColumn(f"_scores{i}", array_to_vector(scores)))
-        return rows, vector_to_array(out["probability"])
-    model = fitted.copy()
-    model.setPredictionCol(out["prediction"]).setRawPredictionCol(out["raw"])
-    model.setProbabilityCol(out["probability"])
-    return model.transform(rows), vector_to_array(out["probability"])
+def run_classifier(rows: DataFrame, fitted, i: int) -> DataFrame:
+    """Add `_pred{i}` (position of the class) and `_prob{i}` (array of probabilities)."""
+    pred, prob = f"_pred{i}", f"_prob{i}"
+    if not isinstance(fitted, OneVsRestModel):
+        model = fitted.copy().setPredictionCol(pred).setRawPredictionCol("").setProbabilityCol(f"_vec{i}")
+        return model.transform(rows).withColumn(prob, vector_to_array(f"_vec{i}"))
+    # Spark ML's own one-vs-rest scoring runs a Python function per row and class, so
+    # the members are run here one after the other and the best margin wins.
+    margins = []
+    for k, member in enumerate(fitted.models):
+        raw = f"_raw{i}_{k}"
+        one = member.copy().setPredictionCol("").setProbabilityCol("").setRawPredictionCol(raw)
+        rows = one.transform(rows)
+        margins.append(vector_to_array(raw)[1])
+    rows = rows.withColumn(f"_margins{i}", F.array(*margins))
+    best = F.array_position(f"_margins{i}", F.array_max(f"_margins{i}")) - 1
+    # A booster's margin m stands for the probability 1 / (1 + exp(-2m)).
+    scores = F.transform(f"_margins{i}", lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+    rows = rows.withColumns({pred: best.cast("double"), f"_scores{i}": array_to_vector(scores)})
+    rows = Normalizer(p=1.0, inputCol=f"_scores{i}", outputCol=f"_vec{i}").transform(rows)
+    return rows.withColumn(prob, vector_to_array(f"_vec{i}"))
 
 
 def predict(
@@ -242,9 +252,9 @@ def predict(
     rows = _apply_selector(rows, model.selector)
     cells = []
     for i, (target, fitted) in enumerate(model.targets.items()):
-        rows, shares = _run(rows, fitted.model, i)
+        rows = run_classifier(rows, fitted.model, i)
         names = model.class_names(target)
-        place = F.col(_output_columns(i)["prediction"]).cast("int") + 1
+        place = F.col(f"_pred{i}").cast("int") + 1
         name_array = F.array(*[F.lit(n) for n in names])
         cells.append(
             F.struct(
@@ -252,7 +262,7 @@ def predict(
                 F.lit(model.spec.level_of(target)).alias("level"),
                 F.element_at(F.array(*[F.lit(c).cast("bigint") for c in fitted.classes]), place).alias("pred_idx"),
                 F.element_at(name_array, place).alias("predicted_class"),
-                F.map_from_arrays(name_array, shares).alias("probabilities"),
+                F.map_from_arrays(name_array, F.col(f"_prob{i}")).alias("probabilities"),
             )
         )
     return rows.select(*key, *keep, F.inline(F.array(*cells)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -29,6 +31,19 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(*[f"{sql} AS {name}" for name, sql in COLUMNS.items()])
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table written once per session, for jobs that read their input several times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        path = scratch_path(spark, "alerts")
+        alerts(spark, sf_dir).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
 # The expressions hold in Spark and in DuckDB alike.
 COLUMNS = {
     "hit__hit_id": "doc_id",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import clean, schema
 from alertloom.plans import preprocess as plans
-from alertloom.plans.alerts import alerts, table
+from alertloom.plans.alerts import alerts, landed_alerts, table
 from alertloom.plans.catalog import sql
 from alertloom.plans.catalog.registry import query, rounded
 from alertloom.spec import ALERTS, EXPECTED_COLUMNS, flat
@@ -59,7 +59,7 @@ def _aligned_sql() -> list[str]:
     [sql.ALERTS], "SELECT hit__hit_id, hit__country, " + ", ".join(_aligned_sql()) + " FROM alerts"
 ))
 def align_schema(spark, sf_dir):
-    raw = alerts(spark, sf_dir)
+    raw = landed_alerts(spark, sf_dir)
     aligned = schema.align_schema(raw, ALERTS.expected, ALERTS.order)
     return aligned.drop(*[c for c in raw.columns if c not in ("hit__hit_id", "hit__country")])
 
@@ -170,7 +170,7 @@ def clip_iqr(spark, sf_dir):
     "SELECT hit__hit_id, " + ", ".join(f"{sql.fixed(c)} AS {c}" for c in sql.NUMBERS) + " FROM clipped",
 ))
 def clip_outliers_of_alerts(spark, sf_dir):
-    numbers = clean.coerce_numeric(alerts(spark, sf_dir), ALERTS.numeric)
+    numbers = clean.coerce_numeric(landed_alerts(spark, sf_dir), ALERTS.numeric)
     clipped = clean.clip_iqr(numbers.select("hit__hit_id", *ALERTS.numeric), ALERTS.numeric)
     return rounded(clipped.withColumns({c: F.col(c).cast("double") for c in ALERTS.numeric}))
 
@@ -269,7 +269,7 @@ def _preprocessed_sql() -> str:
 
 @query("P19", sql.with_ctes(sql.CLIPPED, _preprocessed_sql()))
 def preprocess(spark, sf_dir):
-    return rounded(plans.preprocess(alerts(spark, sf_dir), ALERTS))
+    return rounded(plans.preprocess(landed_alerts(spark, sf_dir), ALERTS))
 
 
 def _base_sql() -> str:

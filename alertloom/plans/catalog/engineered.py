@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from alertloom.operators import features
-from alertloom.plans.alerts import alerts, table
+from alertloom.plans.alerts import landed_alerts, table
 from alertloom.plans.catalog import sql
 from alertloom.plans.catalog.registry import query, rounded
 from alertloom.plans.preprocess import clean_by_role
@@ -13,7 +13,7 @@ ID = "hit__hit_id"
 
 
 def _cleaned(spark, sf_dir):
-    return clean_by_role(alerts(spark, sf_dir), ALERTS)
+    return clean_by_role(landed_alerts(spark, sf_dir), ALERTS)
 
 
 @query("F1 F2 F3", sql.with_ctes(

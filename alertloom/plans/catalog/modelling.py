@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import labels, models, vectors
 from alertloom.plans import jobs
-from alertloom.plans.alerts import alerts, table
+from alertloom.plans.alerts import landed_alerts, table
 from alertloom.plans.catalog import sql
 from alertloom.plans.catalog.registry import query, rounded
 from alertloom.plans.preprocess import preprocess
@@ -28,7 +28,7 @@ def fitted(spark, sf_dir):
     """(cleaned alerts, model), fitted once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
-        data = cut_lineage(preprocess(alerts(spark, sf_dir), SPEC))
+        data = cut_lineage(preprocess(landed_alerts(spark, sf_dir), SPEC))
         classes = labels.fit_labels(data, SPEC.targets)
         _FITTED[key] = (data, models.fit_targets(data, SPEC, classes))
     return _FITTED[key]
@@ -68,7 +68,7 @@ def predict_proba(spark, sf_dir):
 @query("M9 W1")
 def score_batch(spark, sf_dir):
     _, model = fitted(spark, sf_dir)
-    return jobs.score_batch(alerts(spark, sf_dir), model, ["hit__hit_id"]).drop("probabilities")
+    return jobs.score_batch(landed_alerts(spark, sf_dir), model, ["hit__hit_id"]).drop("probabilities")
 
 
 @query("M10 S6")
@@ -81,21 +81,21 @@ def score_texts(spark, sf_dir):
 @query("M11 G5")
 def validate(spark, sf_dir):
     _, model = fitted(spark, sf_dir)
-    metrics, _ = jobs.validate_job(alerts(spark, sf_dir), model)
+    metrics, _ = jobs.validate_job(landed_alerts(spark, sf_dir), model)
     return rounded(metrics)
 
 
 @query("M11")
 def validation_info(spark, sf_dir):
     _, model = fitted(spark, sf_dir)
-    _, info = jobs.validate_job(alerts(spark, sf_dir).drop("decision__last_action"), model)
+    _, info = jobs.validate_job(landed_alerts(spark, sf_dir).drop("decision__last_action"), model)
     return info
 
 
 @query("M11 A7")
 def validate_without_labels(spark, sf_dir):
     _, model = fitted(spark, sf_dir)
-    counts, _ = jobs.validate_job(alerts(spark, sf_dir).drop(*ALERTS.targets), model)
+    counts, _ = jobs.validate_job(landed_alerts(spark, sf_dir).drop(*ALERTS.targets), model)
     return counts
 
 
@@ -126,7 +126,7 @@ def balanced_weights(spark, sf_dir):
 
 @query("M13 W2 J1 J2 G5")
 def train_job(spark, sf_dir):
-    result = jobs.train_job(alerts(spark, sf_dir), LIGHT)
+    result = jobs.train_job(landed_alerts(spark, sf_dir), LIGHT)
     parts = [
         getattr(result, part).withColumn("part", F.lit(part)).withColumn("rows", F.lit(result.sizes[part]))
         for part in ("validation", "test")
@@ -136,7 +136,7 @@ def train_job(spark, sf_dir):
 
 @query("G12 W3")
 def cross_validate(spark, sf_dir):
-    data = cut_lineage(preprocess(alerts(spark, sf_dir), LIGHT))
+    data = cut_lineage(preprocess(landed_alerts(spark, sf_dir), LIGHT))
     classes = labels.fit_labels(data, LIGHT.targets)
     return rounded(models.cross_validate(data, LIGHT, classes, LIGHT.order, k=3))
 
@@ -157,9 +157,5 @@ def make_classifier(spark, sf_dir):
     made = []
     for name in ("forest", "TFIDF_Boosting"):
         classifier = models.make_classifier(name, rounds=2, depth=3)(4)
-        scored = classifier.fit(rows).transform(rows)
-        made.append(
-            scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("train_accuracy"))
-            .withColumn("name", F.lit(name.lower()))
-        )
-    return rounded(made[0].unionByName(made[1]))
+        made.append((name.lower(), models.train_accuracy(rows, classifier.fit(rows))))
+    return rounded(spark.createDataFrame(made, "name string, train_accuracy double"))

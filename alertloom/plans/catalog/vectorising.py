@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from alertloom.operators import vectors
-from alertloom.plans.alerts import alerts, table
+from alertloom.plans.alerts import landed_alerts, table
 from alertloom.plans.catalog import sql
 from alertloom.plans.catalog.registry import query, rounded
 from alertloom.plans.preprocess import clean_by_role
@@ -78,7 +78,7 @@ def transform_tfidf_plain(spark, sf_dir):
 
 @query("T4")
 def fit_text_features(spark, sf_dir):
-    data = clean_by_role(alerts(spark, sf_dir), ALERTS)
+    data = clean_by_role(landed_alerts(spark, sf_dir), ALERTS)
     fitted = vectors.fit_text_features(data.drop(*ALERTS.targets), ALERTS)
     made = None
     for c, (vocabulary, params) in fitted.items():
@@ -139,7 +139,7 @@ def standardize(spark, sf_dir):
 
 @query("T7")
 def assemble(spark, sf_dir):
-    data = clean_by_role(alerts(spark, sf_dir), ALERTS)
+    data = clean_by_role(landed_alerts(spark, sf_dir), ALERTS)
     fitted = vectors.fit_features(data, ALERTS)
     matrix = vectors.assemble(data, fitted, ["hit__hit_id"])
     values = vector_to_array("features")

@@ -36,7 +36,11 @@ def preprocess(
     df: DataFrame, spec: FeatureSpec, is_training: bool = True,
     order: Sequence[str] | None = None, fences: clean.Fences | None = None, min_rows: int = 1,
 ) -> DataFrame:
-    """Guard, clean, add missing expected columns, put them in their order."""
+    """Guard, clean, add missing expected columns, put them in their order.
+
+    Fitting fences and finding numeric or empty columns takes several passes, each
+    reading only the columns it needs: give it a stored table rather than a long plan.
+    """
     order = tuple(order or spec.order)
     df = schema.guard_rows(df, is_training, min_rows)
     df = clean_by_role(df, spec, order, fences)
