@@ -135,6 +135,14 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], distinct_limit: int) -> lis
             for agg in (
                 F.count_if(as_double(b.column) < F.lit(guesses[i][0])).alias(f"b{i}"),
                 F.count_if(b.member(*guesses[i])).alias(f"n{i}"),
+                F.count_if(as_double(b.column) == F.lit(guesses[i][0])).alias(f"first{i}"),
+                F.count_if(as_double(b.column) == F.lit(guesses[i][1])).alias(f"last{i}"),
+                F.min(
+                    F.when(as_double(b.column) > F.lit(guesses[i][0]), as_double(b.column))
+                ).alias(f"after{i}"),
+                F.max(
+                    F.when(as_double(b.column) < F.lit(guesses[i][1]), as_double(b.column))
+                ).alias(f"before{i}"),
                 F.approx_count_distinct(
                     F.when(b.member(*guesses[i]), as_double(b.column))
                 ).alias(f"d{i}"),
@@ -144,14 +152,27 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], distinct_limit: int) -> lis
     still_open = []
     for i, b in enumerate(brackets):
         below, inside = counts[f"b{i}"], counts[f"n{i}"]
-        if below <= b.rank and b.next_rank < below + inside:
-            b.low, b.high = guesses[i]
-            b.below, b.inside = below, inside
-            if counts[f"d{i}"] > distinct_limit:
-                still_open.append(b)
-        else:
+        if not (below <= b.rank and b.next_rank < below + inside):
             b.slack *= 4
             still_open.append(b)
+            continue
+        low, high = guesses[i]
+        after_low = below + counts[f"first{i}"]
+        from_high = below + inside - counts[f"last{i}"]
+        if b.next_rank < after_low:
+            b.low = b.high = low
+        elif b.rank >= from_high:
+            b.low = b.high = high
+        elif b.rank < after_low:
+            b.low, b.high = low, counts[f"after{i}"]
+        elif b.next_rank >= from_high:
+            b.low, b.high = counts[f"before{i}"], high
+        else:
+            # Both ranks lie between the ends, however many rows the ends hold.
+            b.low, b.high = counts[f"after{i}"], counts[f"before{i}"]
+            b.below, b.inside = after_low, from_high - after_low
+            if counts[f"d{i}"] > distinct_limit:
+                still_open.append(b)
     return still_open
 
 
@@ -164,7 +185,8 @@ def _finish(df: DataFrame, b: _Bracket) -> float:
         .orderBy("v")
         .toPandas()
     )
-    seen = b.below + counts["count"].cumsum()
+    below = df.agg(F.count_if(as_double(b.column) < F.lit(b.low))).first()[0]
+    seen = below + counts["count"].cumsum()
     lower = counts["v"][(seen > b.rank).idxmax()]
     upper = counts["v"][(seen > b.next_rank).idxmax()]
     return float(lower + (upper - lower) * b.share)
