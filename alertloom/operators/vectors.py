@@ -17,8 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from alertloom.functions import text
+from alertloom.functions import number, text
 from alertloom.operators.clean import present
 from alertloom.operators.labels import long_values
 from alertloom.operators.ranking import index_within
@@ -219,12 +220,19 @@ def ordinal_encode(
     return df
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """The column as double; null, NaN and (in an aligned blank column) text as 0."""
+    if isinstance(df.schema[column].dataType, T.NumericType):
+        return number.coerce(F.col(column).cast("double"), T.DoubleType())
+    return F.coalesce(number.parse(F.col(column)), F.lit(0.0))
+
+
 def fit_standard(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column; a deviation of 0 counts as 1."""
     columns = present(df, columns)
     if not columns:
         return {}
-    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    values = {c: _number(df, c) for c in columns}
     row = df.agg(
         *[
             a
@@ -239,7 +247,7 @@ def standardize(df: DataFrame, moments: dict[str, tuple[float, float]], suffix:
     """(x - mean) / deviation with nulls as 0."""
     return df.withColumns(
         {
-            f"{c}{suffix}": (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
+            f"{c}{suffix}": (_number(df, c) - F.lit(m)) / F.lit(s)
             for c, (m, s) in moments.items()
             if c in df.columns
         }
