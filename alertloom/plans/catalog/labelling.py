@@ -128,14 +128,14 @@ def align_truth(spark, sf_dir):
 
 @query("J6", sql.with_ctes(
     [
-        ("known", "SELECT DISTINCT p_brand AS value FROM part WHERE p_size <= 2"),
+        ("known", "SELECT DISTINCT p_brand AS value FROM part WHERE p_size = 1"),
         ("seen", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1"),
     ],
     "SELECT 'p_brand' AS target, value, n FROM seen WHERE value NOT IN (SELECT value FROM known)",
 ))
 def unseen_values(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    fitted = labels.fit_labels(parts.where("p_size <= 2"), ["p_brand"])
+    fitted = labels.fit_labels(parts.where("p_size = 1"), ["p_brand"])
     return labels.unseen_values(parts, fitted, ["p_brand"])
 
 
