@@ -30,6 +30,9 @@ def _disk_state(spark: SparkSession):
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+        # Many small stores: no file space is reserved ahead, and a batch uploads its changes only.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
@@ -108,7 +111,7 @@ def exact_groups(
     hits = marked.where("group_size > 1").select("id", "digest", "keep_id")
     text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     source = docs.select(F.col(id_col).alias("id"), text.alias("full"))
-    hit_text = hits.select("id", "digest", "keep_id").distinct().join(source, "id")
+    hit_text = landed(hits.select("id", "digest", "keep_id").distinct().join(source, "id"), "hit-texts")
     # Landed, so that the join below is between plain shuffles, which are split where a digest is hot.
     kept_text = landed(
         hit_text.where("id = keep_id")
