@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from alertloom.session import scratch_path
 from llm import bpe
 from llm.exact import exact_groups
+from llm.jaccard import linked_classes
 from llm.packing import pack
 from llm.sharding import shard_records
 from llm.warc import read_warc, write_warc
@@ -41,6 +42,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_classes(table(spark, sf_dir, "documents"), k=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("id", "doc_id")
@@ -72,6 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_packing": op3_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op10_bpe": op10_bpe,
