@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.session import scratch_path
 from llm import bpe
 from llm.exact import exact_groups
 from llm.jaccard import linked_classes
+from llm.lm import stupid_backoff
 from llm.packing import pack
+from llm.ranker import CUT_AT, scored
 from llm.sharding import shard_records
 from llm.warc import read_warc, write_warc
 
@@ -36,7 +38,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
@@ -65,6 +67,46 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).drop("url", "payload")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = stupid_backoff(table(spark, sf_dir, "documents"))
+    return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 3).alias("log_score"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), one AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+t AS (SELECT b.doc_id, b.i, b.w, a.w AS v FROM w b LEFT JOIN w a ON a.doc_id = b.doc_id AND a.i = b.i - 1),
+two AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+n AS (SELECT count(*) AS n FROM w),
+s AS (
+  SELECT t.doc_id, CASE
+    WHEN two.c >= 2 THEN ln(two.c / before.c)
+    WHEN t.v IS NULL THEN ln(one.c / n.n)
+    ELSE ln(0.4) + ln(one.c / n.n) END AS s
+  FROM t JOIN one ON one.w = t.w LEFT JOIN one AS before ON before.w = t.v
+  LEFT JOIN two ON two.v = t.v AND two.w = t.w CROSS JOIN n
+)
+SELECT d.doc_id, count(s.s) AS n_words, round(coalesce(sum(s.s), 0), 3) AS log_score
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def held_out(doc_id: str) -> Column:
+    """A fifth of the ids, by checksum; their labels are never learned from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    scores = scored(table(spark, sf_dir, "documents"), labels)
+    return scores.select(
+        F.col("id").alias("doc_id"), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= CUT_AT).cast("int").alias("predicted"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -80,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL}
