@@ -14,6 +14,7 @@ from llm.exact import exact_groups
 from llm.jaccard import linked_classes
 from llm.lm import stupid_backoff
 from llm.packing import pack
+from llm.phrases import repeated_passages
 from llm.ranker import CUT_AT, scored
 from llm.sharding import shard_records
 from llm.warc import read_warc, write_warc
@@ -93,6 +94,15 @@ FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"),
+        F.coalesce(F.sha2("kept", 256), F.col("words_sha256")).alias("kept_sha256"),
+    )
+
+
 def held_out(doc_id: str) -> Column:
     """A fifth of the ids, by checksum; their labels are never learned from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -123,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
