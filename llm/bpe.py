@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 from llm.units import UnitCache, text_slices
 
-#: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 300_000
-
 
 def read_ranks(path: str) -> list[bytes]:
     """Token bytes by id, from a file of base64 tokens and ranks."""
@@ -64,7 +61,6 @@ class Bpe:
             )
         self.automaton.make_automaton()
         self.may_follow = lru_cache(1 << 18)(self._may_follow)
-        self.known: dict[str, bytes] = {}
 
     def _reached(self, i: int) -> bool:
         return len(self.tokens[i]) == 1 or self.parts[i] is not None
@@ -122,22 +118,12 @@ class Bpe:
                 token = shorter[token]
         return np.array(out, "<u4").tobytes()
 
-    def units(self, units) -> Iterator[bytes]:
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        for unit in units:
-            found = self.find(unit)
-            for p in found:
-                if p not in known:
-                    known[p] = self.piece(p)
-            yield b"".join([known[p] for p in found])
-
 
 @lru_cache(2)
 def load(path: str, pattern: str) -> UnitCache:
     """An encoder for a rank file, built once in a worker."""
-    return UnitCache(Bpe(read_ranks(path), pattern).units)
+    tables = Bpe(read_ranks(path), pattern)
+    return UnitCache(tables.find, tables.piece)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:

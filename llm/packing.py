@@ -74,22 +74,35 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int,
     return pieces
 
 
+def _byte_marks() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 @lru_cache(2)
-def _tokenizer(path: str, closing: int) -> Callable[[list[str]], list[bytes]]:
+def _tokenizer(path: str, pattern: str, closing: int) -> Callable[[list[str]], list[bytes]]:
+    """An encoder by the file's own BPE model, built once in a worker.
+
+    The tokenizer's model gets one piece at a time, in its byte alphabet, as its own splitter would
+    hand it over.
+    """
+    import regex
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    model, marks = Tokenizer.from_file(path).model, _byte_marks()
 
-    def encode(units):
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def piece(text: str) -> bytes:
+        found = model.tokenize(text.encode().decode("latin-1").translate(marks))
+        return np.array([t.id for t in found], "<u4").tobytes()
 
-    cache, end = UnitCache(encode), np.array([closing], "<u4").tobytes()
+    cache, end = UnitCache(regex.compile(pattern).findall, piece), np.array([closing], "<u4").tobytes()
     return lambda texts: [x + end for x in cache.texts(texts)]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, closing: int, capacity: int, block: int):
-    encode = _tokenizer(path, closing)
+def _packed(batches: Iterator[pa.RecordBatch], path: str, pattern: str, closing: int, capacity: int, block: int):
+    encode = _tokenizer(path, pattern, closing)
     sequence = TaskContext.get().partitionId() << 40
     ids, held, tokens = [], [], 0
 
@@ -118,13 +131,14 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, closing: int, capacity
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
     closing: int = 1, capacity: int = CAPACITY, block: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """One row per piece: its document, place there, ids, and place in its sequence.
 
-    `tokenizer` is a file that every executor can read. `capacity` is a power of two.
+    `tokenizer` is a byte-level BPE file that every executor can read, `pattern` what it splits text by.
+    Special tokens in a text are ordinary text. `capacity` is a power of two.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    run = partial(_packed, path=tokenizer, closing=closing, capacity=capacity, block=block)
+    run = partial(_packed, path=tokenizer, pattern=pattern, closing=closing, capacity=capacity, block=block)
     return rows.mapInArrow(run, SCHEMA)

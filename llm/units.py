@@ -1,22 +1,25 @@
-"""Texts as units that byte-level tokenizers treat separately, with a bounded cache of their ids.
+"""Texts as units that byte-level tokenizers treat separately, with bounded caches of their ids.
 
 The split pattern of byte-level BPE always starts a new piece at a space that a visible character
 follows. So a text is cut there, and the ids of a unit never depend on its neighbours. Units repeat
-a lot, so most of a text is looked up instead of encoded.
+a lot, and pieces inside units even more, so most of a text is looked up instead of encoded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+import string
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 
-#: Cached units of a Python worker; a full cache is emptied.
+#: Cached units and pieces of a Python worker; a full cache is emptied.
 CACHE_UNITS = 600_000
+CACHE_PIECES = 500_000
 #: Texts encoded together, in characters.
 SLICE_CHARS = 1 << 20
 
-Encode = Callable[[Sequence[str]], Iterable[bytes]]
+#: Trailing marks that form one piece of their own; an apostrophe may open a contraction.
+_MARKS = string.punctuation.replace("'", "")
 
 
 def _opens(piece: str) -> bool:
@@ -25,38 +28,57 @@ def _opens(piece: str) -> bool:
 
 
 class UnitCache:
-    """ids (little-endian unsigned 32-bit) of whole texts, by cached units."""
+    """ids (little-endian unsigned 32-bit) of whole texts, by cached units and pieces.
 
-    def __init__(self, encode: Encode, limit: int = CACHE_UNITS):
-        self._encode, self._limit = encode, limit
-        self._known: dict[str, bytes] = {}
+    `find` cuts a text into the pieces of its pattern, `piece` encodes one of them.
+    """
 
-    def texts(self, texts: Sequence[str]) -> list[bytes]:
-        known = self._known
-        split = []
-        for text in texts:
-            # The first unit has no space in front; a space marks the others apart from it.
-            pieces = text.split(" ")
-            units = [" " + pieces[0]]
-            rest = pieces[1:]
-            if "" in rest or not all(p in known or _opens(p) for p in rest):
-                for p in rest:
-                    if _opens(p):
-                        units.append(p)
-                    else:
-                        units[-1] += " " + p
+    def __init__(self, find: Callable[[str], list[str]], piece: Callable[[str], bytes]):
+        self._find, self._piece = find, piece
+        self._units: dict[str, bytes] = {}  # without the space in front
+        self._pieces: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        body = unit[1:]
+        word = body.rstrip(_MARKS)
+        if unit[:1] == " " and word.isalpha():  # the most common forms need no pattern
+            pieces = [unit] if len(word) == len(body) else [unit[: 1 + len(word)], body[len(word) :]]
+        else:
+            pieces = self._find(unit)
+        known, out = self._pieces, []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                if len(known) >= CACHE_PIECES:
+                    known.clear()
+                ids = known[p] = self._piece(p)
+            out.append(ids)
+        return b"".join(out)
+
+    def text(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        known = self._units
+        found = list(map(known.get, rest))
+        if None not in found:
+            return self._unit(head) + b"".join(found)
+        if all(p is not None or _opens(u) for u, p in zip(rest, found)):
+            for k, ids in enumerate(found):
+                if ids is None:
+                    if len(known) >= CACHE_UNITS:
+                        known.clear()
+                    found[k] = known[rest[k]] = self._unit(" " + rest[k])
+            return self._unit(head) + b"".join(found)
+        # A space before a space or an unusual character belongs to the unit before it.
+        units = [head]
+        for u in rest:
+            if _opens(u):
+                units.append(" " + u)
             else:
-                units += rest
-            split.append(units)
-        missing = {u for units in split for u in units if u not in known}
-        if missing:
-            if len(known) + len(missing) > self._limit:
-                known.clear()
-                missing = {u for units in split for u in units}
-            order = list(missing)
-            plain = [u[1:] if u[:1] == " " else " " + u for u in order]
-            known.update(zip(order, self._encode(plain), strict=True))
-        return [b"".join([known[u] for u in units]) for units in split]
+                units[-1] += " " + u
+        return b"".join(map(self._unit, units))
+
+    def texts(self, texts: Sequence[str]) -> list[bytes]:
+        return list(map(self.text, texts))
 
 
 def text_slices(batch: pa.RecordBatch, id_col: int = 0, text_col: int = 1) -> Iterator[tuple[list, list[str]]]:

@@ -42,9 +42,9 @@ def test_costs_are_balanced():
 
 def test_ids_are_the_tokenizers(spark, documents, sf_dir):
     real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    odd = [None, "", " ", "a  b", "x\n\n y", "  lead", "trail  ", "tab\t x", "é  ü", "I'll  'll", "long " * 5000, "<|endoftext|>"]
+    odd = [None, "", " ", "a  b", "x\n\n y", "  lead", "trail  ", "tab\t x", "é  ü", "I'll  'll", "long " * 5000, "<|endoftext|>", "x\u3000y \xa0z \x85 \u0301a b\u0301", "a_b. _c ,, .x"]
     rows = list(enumerate(odd + real)) + [(0, None)]
-    out = pack(documents(rows), PATH, block=20_000).collect()
+    out = pack(documents(rows), PATH, P.PATTERN, block=20_000).collect()
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
     got, places = defaultdict(list), defaultdict(list)
@@ -62,4 +62,4 @@ def test_ids_are_the_tokenizers(spark, documents, sf_dir):
             assert offset == at
             at += length
         assert at == 2048 or at & (at - 1) == 0
-    assert pack(documents([]), PATH).collect() == []
+    assert pack(documents([]), PATH, P.PATTERN).collect() == []
