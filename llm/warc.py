@@ -91,8 +91,18 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterato
             done.append((out["name"], out["records"], out["bytes"], out["sha"].hexdigest()))
             out, number = None, number + 1
 
+    repeats: dict[bytes, int] = {}  # of the id at hand: payload digest -> the response's id
+    last = None
     for batch in batches:
-        for at, page_id, url, html, refers_to in zip(*batch.columns, strict=True):
+        for at, page_id, url, html, digest, response in zip(*batch.columns, strict=True):
+            page_id = page_id.as_py()
+            if page_id != last:
+                repeats.clear()
+                last = page_id
+            if response.is_valid:  # such rows come before the records of their id
+                repeats[bytes.fromhex(digest.as_py())] = response.as_py()
+                continue
+            payload = (html.as_py() or "").encode()
             if at.as_py() != shard:
                 close()
                 shard, number = at.as_py(), 0
@@ -100,7 +110,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterato
                 name = f"shard-{shard:06d}-{number:04d}.warc.gz"
                 temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
                 out = {"name": name, "temporary": temporary, "stream": files.open_output_stream(temporary, compression=None), "records": 0, "bytes": 0, "sha": hashlib.sha256()}
-            data = _member(record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py()))
+            refers_to = repeats.get(hashlib.sha256(payload).digest()) if repeats else None
+            data = _member(record(page_id, url.as_py(), payload, refers_to))
             out["stream"].write(data)
             out["records"] += 1
             out["bytes"] += len(data)
@@ -120,8 +131,8 @@ def _splitters(pages: DataFrame, id_col: str, parts: int) -> list:
     return sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
 
 
-def with_revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """id -> refers_to for the rows that repeat another row's payload; reads digests, not texts."""
+def revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
+    """(id, digest, response) of the rows that repeat another row's payload; moves no payloads."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = landed(
         pages.select(F.col(id_col).alias("id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")),
@@ -129,7 +140,7 @@ def with_revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int
     )
     first = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("copies"))
     several = landed(first.where("copies > 1").drop("copies"), "payload-responses")
-    return rows.join(several, "digest").where("id <> response").select("id", F.col("response").alias("refers_to")).distinct()
+    return rows.join(several, "digest").where("id <> response").select("id", "digest", "response").distinct()
 
 
 def write_warc(
@@ -141,13 +152,16 @@ def write_warc(
     total = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
     bounds = _splitters(pages, id_col, max(1, -(-total // range_bytes)))
     shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    text = [F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")]
+    none = F.lit(None).cast("string")
+    records = pages.select(F.col(id_col).cast("long").alias("id"), *text, none.alias("digest"), F.lit(None).cast("long").alias("response"))
+    repeats = revisits(pages, id_col, html_col, least_bytes).select("id", none.alias("url"), none.alias("html"), "digest", "response")
     rows = (
-        pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-        .join(with_revisits(pages, id_col, html_col, least_bytes), "id", "left")
-        .select(F.greatest(shard, F.lit(0)).alias("shard"), "id", "url", "html", "refers_to")
+        records.unionByName(repeats)
+        .select(F.greatest(shard, F.lit(0)).alias("shard"), "id", "url", "html", "digest", "response")
         .repartition(len(bounds) + 1, "shard")
-        .sortWithinPartitions("shard", "id", "url", F.sha2("html", 256))
-    )
+        .sortWithinPartitions("shard", "id", F.isnull("response"), "url", "html")
+    )
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     rows.mapInArrow(partial(_write, folder=folder, roll=roll_bytes), _MANIFEST).write.parquet(f"{folder.rstrip('/')}/manifest")
