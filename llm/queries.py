@@ -13,6 +13,7 @@ from llm import bpe
 from llm.exact import exact_groups
 from llm.jaccard import linked_classes
 from llm.lm import stupid_backoff
+from llm.neighbours import build, search
 from llm.packing import pack
 from llm.phrases import repeated_passages
 from llm.ranker import CUT_AT, scored
@@ -38,6 +39,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return search(build(embeddings), embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return pieces.select(
@@ -128,6 +134,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_nn_descent": op2_nn_descent,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
