@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from alertloom.functions import number, text
 from alertloom.operators.quantiles import column_quantiles
-from alertloom.session import cut_lineage
 from alertloom.spec import FeatureSpec
 
 Fences = Mapping[str, tuple[float, float] | None]
@@ -97,13 +96,12 @@ def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame
 
 def numeric_looking(
     df: DataFrame, order: Sequence[str], columns: Sequence[str],
-    sample: int = 100, ratio: float = 0.8,
+    sample: int | None = None, ratio: float = 0.8,
 ) -> list[str]:
-    """String columns whose first `sample` non-null values are mostly digits.
+    """String columns whose non-null values are mostly digits.
 
-    The head of the table settles columns that are filled there. Sparse columns are
-    settled by a per-column top-k over all rows, which Spark cuts to `sample` rows
-    per column and task before it shuffles.
+    One narrow aggregation over all rows decides. With `sample`, the first so many
+    non-null values of each column in the given order decide instead.
     """
     types = {f.name: f.dataType for f in df.schema}
     columns = [c for c in columns if isinstance(types[c], T.StringType)]
@@ -113,24 +111,12 @@ def numeric_looking(
     def digits(value: Column) -> Column:
         return F.regexp_replace(value, "[.-]", "").rlike(r"^\p{Nd}+$")
 
-    reach = sample * 10
-    top = cut_lineage(
-        df.select(*order, *[c for c in columns if c not in order]).orderBy(*order).limit(reach)
-    )
-    long = _long_form(top, order, columns)
-    counts = {
-        r["column"]: (r["n"], r["digits"]) for r in _first_values(long, order, sample, digits)
-    }
-    whole_table_seen = top.count() < reach
-    sparse = [c for c in columns if counts.get(c, (0, 0))[0] < sample]
-    if sparse and not whole_table_seen:
-        rest = _long_form(df, order, sparse)
-        for c in sparse:
-            counts.pop(c, None)
-        counts.update(
-            {r["column"]: (r["n"], r["digits"]) for r in _first_values(rest, order, sample, digits)}
-        )
-    return [c for c in columns if c in counts and counts[c][1] > counts[c][0] * ratio]
+    if sample is None:
+        counts = [F.struct(F.count(c).alias("n"), F.count_if(digits(F.col(c))).alias("digits")).alias(c) for c in columns]
+        found = df.agg(*counts).first()
+        return [c for c in columns if found[c].digits > found[c].n * ratio]
+    head = _first_values(_long_form(df, order, columns), order, sample, digits)
+    return [r["column"] for r in head if r["digits"] > r["n"] * ratio]
 
 
 def _long_form(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -158,12 +144,17 @@ def _first_values(long: DataFrame, order: Sequence[str], sample: int, digits) ->
 
 def sniff_numeric(
     df: DataFrame, order: Sequence[str], exclude: Sequence[str] = (),
-    sample: int = 100, ratio: float = 0.8,
+    sample: int | None = None, ratio: float = 0.8,
 ) -> DataFrame:
-    """Coerce every other column that looks numeric."""
-    others = [c for c in df.columns if c not in exclude]
+    """Coerce every other column that looks numeric; nulls of numeric columns become 0.
+
+    Columns of `order` are keys and stay as they are, whatever they look like.
+    """
+    others = [c for c in df.columns if c not in exclude and c not in order]
+    types = {f.name: f.dataType for f in df.schema}
     found = numeric_looking(df, order, others, sample, ratio)
-    return df.withColumns({c: number.coerce(F.col(c)) for c in found})
+    found += [c for c in others if isinstance(types[c], T.NumericType)]
+    return df.withColumns({c: number.coerce(F.col(c), types[c]) for c in found})
 
 
 def fill_missing_by_role(df: DataFrame, spec: FeatureSpec) -> DataFrame:

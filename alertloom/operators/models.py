@@ -60,9 +60,9 @@ def _forest(p: ModelParams) -> RandomForestClassifier:
 
 # Name -> which classifier. The first three names are aliases of the default.
 _REGISTRY: dict[str, str] = {
-    "hierarchical_boosting": "auto",
-    "multi_target_boosting": "auto",
-    "tfidf_boosting": "auto",
+    "hierarchical_boosting": "boosted",
+    "multi_target_boosting": "boosted",
+    "tfidf_boosting": "boosted",
     "boosted": "boosted",
     "forest": "forest",
 }
@@ -81,12 +81,12 @@ def make_classifier(name: str, **params) -> Callable[[int], object]:
 
 
 def classifier_for(params: ModelParams, classes: int):
-    """Boosting for two classes, one-vs-rest boosting for some, a forest for many.
+    """The learner that `params.kind` names; boosting of more than two classes is one-vs-rest.
 
-    One-vs-rest trains one booster per class over all rows, so from
-    `max_ovr_classes` on a natively multi-class forest is used.
+    One-vs-rest trains one booster per class over all rows: for targets of very many classes
+    the caller may choose a forest, target by target.
     """
-    if params.kind == "forest" or (params.kind == "auto" and classes > params.max_ovr_classes):
+    if params.kind == "forest":
         return _forest(params)
     return _boosted(params) if classes == 2 else _one_vs_rest(params)
 
@@ -177,7 +177,7 @@ def fit_targets(
         matrix.unpersist()
         matrix, model.feature_count = selected, k
     for target, code in zip(targets, codes):
-        fitted = _fit_one(matrix, target, code, spec.model, balance)
+        fitted = _fit_one(matrix, target, code, spec.model_params(target), balance)
         if fitted is not None:
             model.targets[target] = fitted
     matrix.unpersist()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.session import broadcast_if_small, cut_lineage, is_small
+from alertloom.session import broadcast_if_small, cut_lineage, is_small, stored
 
 _POSITION = "_position"
 _PART = "_part"
@@ -21,7 +21,7 @@ def with_row_id(df: DataFrame, order: Sequence[str | Column], name: str = "row_i
     The written copy keeps the numbering fixed when tasks are recomputed.
     """
     # monotonically_increasing_id is (partition << 33) + offset within the partition.
-    rows = cut_lineage(df.orderBy(*order).withColumn(_POSITION, F.monotonically_increasing_id()))
+    rows = stored(df.orderBy(*order).withColumn(_POSITION, F.monotonically_increasing_id()))
     rows = rows.withColumn(_PART, F.shiftright(_POSITION, 33))
     sizes = rows.groupBy(_PART).agg(F.count("*").alias("_n"))
     # One row per partition of the sort, so both the window and the broadcast stay small.

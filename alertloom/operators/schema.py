@@ -25,12 +25,15 @@ def default_kind(column: str) -> str:
 def align_schema(df: DataFrame, expected: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add the missing expected columns with their defaults.
 
-    Ids number the rows in the given order; that sort runs only if an id is missing.
+    Ids number the rows in the given order, or in input order where a column of the order is
+    itself missing; that sort runs only if an id is missing.
     """
     missing = [c for c in expected if c not in df.columns]
     ids = [c for c in missing if default_kind(c) == "id"]
-    if ids:
+    if ids and all(c in df.columns for c in order):
         df = with_row_id(df, order, "_row_id")
+    elif ids:
+        df = with_row_id(df.withColumn("_input", F.monotonically_increasing_id()), ["_input"], "_row_id").drop("_input")
     values = {"zero": F.lit(0), "id": F.col("_row_id") if ids else None, "blank": F.lit("")}
     return df.withColumns({c: values[default_kind(c)] for c in missing}).drop("_row_id")
 

@@ -19,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat alert table, columns as in `ALERTS_SQL`."""
     t = {n: table(spark, sf_dir, n) for n in ("documents", "orders", "customer", "nation", "labels", "conversations")}
-    first_turn = t["conversations"].where("turn = 0").select("conv_id", F.col("text").alias("opening"))
+    # All turns in order; a conversation is a handful of rows.
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    spoken = t["conversations"].groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["text"]), "\n").alias("spoken"))
     joined = (
         t["documents"]
-        .join(t["orders"], F.col("o_orderkey") == F.col("doc_id"))
-        .join(t["customer"], F.col("c_custkey") == F.col("o_custkey"))
-        .join(t["nation"], F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(t["orders"], F.col("o_orderkey") == F.col("doc_id"), "left")
+        .join(t["customer"], F.col("c_custkey") == F.col("o_custkey"), "left")
+        .join(t["nation"], F.col("n_nationkey") == F.col("c_nationkey"), "left")
         .join(t["labels"], "doc_id", "left")
-        .join(first_turn, F.col("conv_id") == F.col("doc_id"), "left")
+        .join(spoken, F.col("conv_id") == F.col("doc_id"), "left")
     )
     return joined.selectExpr(*[f"{sql} AS {name}" for name, sql in COLUMNS.items()])
 
@@ -46,13 +48,13 @@ def landed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The expressions hold in Spark and in DuckDB alike.
 COLUMNS = {
-    "hit__hit_id": "doc_id",
+    "hit__hit_id": "concat('2024-', CAST(doc_id AS VARCHAR(20)))",
     "message_id": "CAST(floor(doc_id / 4) AS BIGINT)",
     "hit__matching_text": (
         "CASE doc_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'nan' "
         "WHEN 2 THEN concat('  ', text, ' ') ELSE text END"
     ),
-    "hit__watchlist_text": "opening",
+    "hit__watchlist_text": "spoken",
     "mt103__sanction_list": "source",
     "hit__is_pep": (
         "CASE doc_id % 7 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'TRUE' "
@@ -91,10 +93,11 @@ COLUMNS = {
 ALERTS_SQL = (
     "SELECT "
     + ", ".join(f"{sql} AS {name}" for name, sql in COLUMNS.items())
-    + " FROM (SELECT d.*, o.*, c.*, n.*, l.quality, l.toxic, w.text AS opening"
-    " FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id"
-    " JOIN customer c ON c.c_custkey = o.o_custkey"
-    " JOIN nation n ON n.n_nationkey = c.c_nationkey"
+    + " FROM (SELECT d.*, o.*, c.*, n.*, l.quality, l.toxic, w.spoken"
+    " FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id"
+    " LEFT JOIN customer c ON c.c_custkey = o.o_custkey"
+    " LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"
     " LEFT JOIN labels l ON l.doc_id = d.doc_id"
-    " LEFT JOIN conversations w ON w.conv_id = d.doc_id AND w.turn = 0)"
+    " LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS spoken"
+    " FROM conversations GROUP BY conv_id) w ON w.conv_id = d.doc_id)"
 )

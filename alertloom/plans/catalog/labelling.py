@@ -97,14 +97,14 @@ def encode_labels(spark, sf_dir):
 @query("J3", sql.with_ctes(
     FITTED,
     "SELECT m.hit__hit_id, m.target, m.pred_idx, coalesce(k.class, 'unknown_' || m.pred_idx) AS predicted_class "
-    "FROM (SELECT hit__hit_id, target, hit__hit_id % 130 AS pred_idx FROM long_targets) m "
+    "FROM (SELECT hit__hit_id, target, CAST(substr(hit__hit_id, 6) AS BIGINT) % 130 AS pred_idx FROM long_targets) m "
     "LEFT JOIN labels_table k ON k.target = m.target AND k.idx = m.pred_idx",
 ))
 def decode_labels(spark, sf_dir):
     data = cleaned_targets(spark, sf_dir)
     fitted = labels.fit_labels(data, ALERTS.targets)
     long = labels.long_values(data, ALERTS.targets, labels.class_value, keep=["hit__hit_id"])
-    guesses = long.select("hit__hit_id", "target", (F.col("hit__hit_id") % 130).alias("pred_idx"))
+    guesses = long.select("hit__hit_id", "target", (F.substring("hit__hit_id", 6, 20).cast("bigint") % 130).alias("pred_idx"))
     return labels.decode_labels(guesses, fitted)
 
 

@@ -95,6 +95,12 @@ def duplicate_rows(spark, sf_dir):
     return quality.duplicate_rows(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+@query("A4", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id % 20 AS u, event_type, ts FROM events)) AS duplicate_rows FROM events")
+def duplicate_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return quality.duplicate_rows(events.select((F.col("user_id") % 20).alias("u"), "event_type", "ts"))
+
+
 _MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
 

@@ -18,7 +18,7 @@ from alertloom.operators.quality import prediction_distribution
 from alertloom.operators.ranking import with_row_id
 from alertloom.operators.splits import split_train_val_test
 from alertloom.plans.preprocess import preprocess
-from alertloom.session import cut_lineage
+from alertloom.session import cut_lineage, stored
 from alertloom.sources import runlog
 from alertloom.sources.modelstore import write_model
 from alertloom.sources.texts import texts_to_alerts
@@ -40,7 +40,7 @@ def train_job(
     """Clean, fit classes, split, fit the targets, evaluate; optionally store and log."""
     spark = raw.sparkSession
     started = datetime.now(timezone.utc)
-    data = cut_lineage(preprocess(raw, spec, is_training=True))
+    data = stored(preprocess(raw, spec, is_training=True))
     targets = present(data, spec.targets)
     labels = label_ops.fit_labels(data, targets)
     split = split_train_val_test(data, spec.order, targets[0] if targets else None, seed=seed)
@@ -67,10 +67,9 @@ def _log_training(
     means = metric_ops.overall(validation).first()
     metrics = {k: float(means[k]) for k in ("avg_accuracy", "avg_weighted_f1")}
     models = f"{log_path.rstrip('/')}/models"
-    try:
-        version = (runlog.read_log(spark, models).agg(F.max("model_version")).first()[0] or 0) + 1
-    except Exception:  # the log does not exist yet
-        version = 1
+    version = 1
+    if runlog.exists(spark, models):
+        version += runlog.read_log(spark, models).agg(F.max("model_version")).first()[0] or 0
     common = dict(user_id=user, level="both")
     runlog.log_record(
         spark, "models", models, model_id=f"model_{stamp}", model_name="alert_classifier",
@@ -114,7 +113,7 @@ def validate_job(raw: DataFrame, model: model_ops.AlertModel) -> tuple[DataFrame
     """
     spec = model.spec
     available = present(raw, spec.targets)
-    data = cut_lineage(preprocess(raw, spec, is_training=False))
+    data = stored(preprocess(raw, spec, is_training=False))
     info = data.agg(F.count("*").alias("total_samples")).select(
         "total_samples",
         F.array(*[F.lit(t) for t in available]).cast("array<string>").alias("available_targets"),

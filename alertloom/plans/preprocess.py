@@ -27,7 +27,9 @@ def clean_by_role(
         fences = clean.iqr_fences(df, spec.numeric)
     df = clean.apply_fences(df, fences)
     roles = {*spec.text, *spec.categorical, *spec.numeric}
-    df = clean.sniff_numeric(df, order, exclude=tuple(roles))
+    # Keys and labels keep their values: an id of digits and dashes is no number.
+    kept = (*roles, *spec.order, spec.message_key, *spec.targets)
+    df = clean.sniff_numeric(df, order, exclude=kept)
     # Cleaned columns hold no nulls, so only the others can be empty.
     return clean.drop_empty_columns(df, [c for c in df.columns if c not in roles])
 

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     sc.setCheckpointDir(named)
@@ -59,6 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it from there.
+
+    For wide tables that are read several times: later passes read the columns they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> bool:
     """True if `table` has at most `rows` rows; reads no more than `rows + 1`."""
     return table.limit(rows + 1).count() <= rows

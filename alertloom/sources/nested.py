@@ -12,9 +12,6 @@ _MT103 = (
     "organization bic_code transaction_type reference dob national_id passport account_number "
     "sanction_list"
 ).split()
-_MT202_HEAD = "mt_type transaction_reference_number related_reference value_date currency".split()
-_HIT_HEAD = "hit_id mt_type tag is_pep severity".split()
-_HIT_TAIL = "sender Organization beneficiary bic_code account_number country city state".split()
 SYNONYM_KEYS = ("city", "country", "name", "organization")
 
 
@@ -35,7 +32,7 @@ MT103_SCHEMA = T.StructType(
 )
 MT202_SCHEMA = T.StructType(
     [
-        *_strings(_MT202_HEAD),
+        *_strings("mt_type transaction_reference_number related_reference value_date currency".split()),
         T.StructField("amount", T.DoubleType()),
         T.StructField("ordering_institution", _BANK),
         T.StructField("beneficiary_institution", _BANK),
@@ -46,12 +43,11 @@ MT202_SCHEMA = T.StructType(
 )
 HIT_SCHEMA = T.StructType(
     [
-        *_strings(_HIT_HEAD),
+        *_strings("hit_id mt_type tag is_pep severity".split()),
         T.StructField("fuzzy_match_score", T.DoubleType()),
-        *_strings(_HIT_TAIL),
-        T.StructField("score", T.IntegerType()),
-        T.StructField("priority", T.IntegerType()),
-        *_strings(["matching_type", "hit_type", "matching_text"]),
+        *_strings("sender Organization beneficiary bic_code account_number country city state".split()),
+        T.StructField("score", T.DoubleType()),
+        *_strings(["priority", "matching_type", "hit_type", "matching_text"]),
         T.StructField("watchlist_text", T.ArrayType(T.StringType())),
         *_strings(["review_decision", "review_comments"]),
     ]
@@ -77,9 +73,22 @@ ALERT_SCHEMA = T.StructType(
 )
 
 
+_WHOLE = T.StructType([*ALERT_SCHEMA.fields, T.StructField("_rejected", T.StringType())])
+
+
+def _parsed(df: DataFrame, column: str) -> DataFrame:
+    read = F.from_json(F.col(column), _WHOLE, {"columnNameOfCorruptRecord": "_rejected"})
+    return df.select(F.col(column).alias("_text"), read.alias("_alert"))
+
+
 def parse_alerts(df: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text -> nested alert columns."""
-    return df.select(F.from_json(F.col(column), ALERT_SCHEMA).alias("_alert")).select("_alert.*")
+    """JSON text -> nested alert columns. Texts that are no alert are left to `rejected_alerts`."""
+    return _parsed(df, column).where("_alert IS NOT NULL AND _alert._rejected IS NULL").select("_alert.*").drop("_rejected")
+
+
+def rejected_alerts(df: DataFrame, column: str = "value") -> DataFrame:
+    """The texts that `parse_alerts` leaves out: broken JSON, or values of another type."""
+    return _parsed(df, column).where("_alert IS NULL OR _alert._rejected IS NOT NULL").select(F.col("_text").alias(column))
 
 
 def _flat_fields(source: Column, schema: T.StructType, prefix: str, separator: str) -> list[Column]:
@@ -103,10 +112,10 @@ def _flat_fields(source: Column, schema: T.StructType, prefix: str, separator: s
 def flatten_alerts(nested: DataFrame, separator: str = " ") -> DataFrame:
     """One row per blocking hit; a message without hits keeps one row of null hit fields."""
     hits = nested.select(
-        "message_id", "message", "message_decision", F.explode_outer("blocking_hits").alias("_hit")
+        "message_id", "message", "total_hits", "message_decision", F.explode_outer("blocking_hits").alias("_hit")
     )
     return hits.select(
-        "message_id",
+        "message_id", "total_hits",
         *_flat_fields(F.col("_hit"), HIT_SCHEMA, "hit", separator),
         *_flat_fields(F.col("message.MT103"), MT103_SCHEMA, "mt103", separator),
         *_flat_fields(F.col("message.MT202"), MT202_SCHEMA, "mt202", separator),

@@ -154,3 +154,9 @@ def run_throughput(
     return runs.withColumn("duration", seconds).withColumn(
         "rows_per_second", ratio(F.col(rows), F.col("duration"))
     )
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """True if something was logged at `path`; other failures to read are raised."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)

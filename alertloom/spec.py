@@ -120,9 +120,9 @@ class TextParams:
 
 @dataclass(frozen=True)
 class ModelParams:
-    """Classifier settings; `kind='auto'` picks by the number of classes."""
+    """Classifier settings. `kind` is 'boosted' or 'forest', whatever the number of classes."""
 
-    kind: str = "auto"
+    kind: str = "boosted"
     rounds: int = 100
     depth: int = 4
     step: float = 0.1
@@ -130,7 +130,6 @@ class ModelParams:
     column_share: float = 0.8
     min_rows_per_leaf: int = 3
     seed: int = 42
-    max_ovr_classes: int = 10
     parallelism: int = 4
 
 
@@ -151,6 +150,8 @@ class FeatureSpec:
     other_text: TextParams = TextParams()
     fallback_text: TextParams = TextParams(max_features=200, ngrams=(1, 1))
     model: ModelParams = ModelParams()
+    # Settings of single targets, by name; the others use `model`.
+    target_models: tuple[tuple[str, ModelParams], ...] = ()
 
     @property
     def targets(self) -> tuple[str, ...]:
@@ -168,6 +169,9 @@ class FeatureSpec:
             return self.targets
         raise ValueError(f"level must be hit, message or both, not {level!r}")
 
+    def model_params(self, target: str) -> ModelParams:
+        return dict(self.target_models).get(target, self.model)
+
     def text_params(self, column: str) -> TextParams:
         return self.primary_text if self.text and column == self.text[0] else self.other_text
 
@@ -182,6 +186,11 @@ ALERTS = FeatureSpec(
     hit_targets=_flat_all(HIT_TARGETS),
     message_targets=_flat_all(MESSAGE_TARGETS),
     order=("hit__hit_id",),
+    # Comments have a class for each of up to a hundred texts.
+    target_models=(
+        ("hit__review_comments", ModelParams(kind="forest")),
+        ("decision__reviewer_comments", ModelParams(kind="forest")),
+    ),
     expected=_flat_all(EXPECTED_COLUMNS),
     required=_flat_all(BASE_REQUIRED),
 )
