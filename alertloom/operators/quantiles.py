@@ -80,8 +80,8 @@ def column_quantiles(
     open_ones = brackets
     while open_ones:
         open_ones = _narrow(df, open_ones, distinct_limit)
-    for b in brackets:
-        found[b.column][b.prob] = _finish(df, b)
+    for b, value in zip(brackets, _finish(df, brackets)):
+        found[b.column][b.prob] = value
     return {
         c: ColumnStats(first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"], found[c])
         for i, c in enumerate(columns)
@@ -176,17 +176,29 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], distinct_limit: int) -> lis
     return still_open
 
 
-def _finish(df: DataFrame, b: _Bracket) -> float:
-    """Read the few distinct values of a narrowed bracket and pick the two ranks."""
-    counts = (
-        df.where(b.member(b.low, b.high))
-        .groupBy(as_double(b.column).alias("v"))
-        .count()
-        .orderBy("v")
-        .toPandas()
-    )
-    below = df.agg(F.count_if(as_double(b.column) < F.lit(b.low))).first()[0]
-    seen = below + counts["count"].cumsum()
-    lower = counts["v"][(seen > b.rank).idxmax()]
-    upper = counts["v"][(seen > b.next_rank).idxmax()]
-    return float(lower + (upper - lower) * b.share)
+def _finish(df: DataFrame, brackets: list[_Bracket]) -> list[float]:
+    """Read the few distinct values of all narrowed brackets in one pass and pick the ranks.
+
+    A row gives each bracket its value, or null where it lies below; rows above are left out.
+    """
+    if not brackets:
+        return []
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"), F.when(as_double(b.column) >= F.lit(b.low), as_double(b.column)).alias("v"),
+            (as_double(b.column) <= F.lit(b.high)).alias("reached"),
+        )
+        for i, b in enumerate(brackets)
+    ]
+    counts = df.select(F.inline(F.array(*cells))).where("reached").groupBy("i", "v").count().collect()
+    picked = []
+    for i, b in enumerate(brackets):
+        seen = sum(r["count"] for r in counts if r["i"] == i and r["v"] is None)
+        ends = {}
+        for v, n in sorted((r["v"], r["count"]) for r in counts if r["i"] == i and r["v"] is not None):
+            for rank in (b.rank, b.next_rank):
+                if seen <= rank < seen + n:
+                    ends[rank] = v
+            seen += n
+        picked.append(ends[b.rank] + (ends[b.next_rank] - ends[b.rank]) * b.share)
+    return picked

@@ -104,15 +104,26 @@ def required_columns(spec: FeatureSpec, is_training: bool, strict: bool = False)
     return list(dict.fromkeys([*spec.required, *labels, *features]))
 
 
+def strict_report(df: DataFrame, spec: FeatureSpec, is_training: bool, level: str = "both") -> DataFrame:
+    """(rule, name, met): rows there, every required column, numbers that parse, usable targets."""
+    needed = required_columns(spec, is_training, strict=True)
+    there = check_required(df, needed).select(F.lit("column").alias("rule"), F.col("column").alias("name"), F.col("present").alias("met"))
+    rows = df.limit(1).agg((F.count("*") > 0).alias("met")).select(F.lit("rows").alias("rule"), F.lit("").alias("name"), "met")
+    report = rows.unionByName(there)
+    if present(df, spec.numeric):
+        report = report.unionByName(
+            validate_types(df, spec.numeric).select(F.lit("type").alias("rule"), F.col("column").alias("name"), F.col("valid").alias("met"))
+        )
+    if is_training and present(df, spec.targets_of(level)):
+        report = report.unionByName(
+            validate_targets(df, spec, level).select(F.lit("target").alias("rule"), F.col("target").alias("name"), F.col("valid").alias("met"))
+        )
+    return report
+
+
 def validate_strict(df: DataFrame, spec: FeatureSpec, is_training: bool, level: str = "both") -> bool:
     """False when empty, a required column is missing, or types or targets do not hold."""
-    needed = required_columns(spec, is_training, strict=True)
-    if df.isEmpty() or any(c not in df.columns for c in needed):
-        return False
-    types_ok = validate_types(df, spec.numeric).agg(F.min("valid")).first()[0]
-    if types_ok is False:
-        return False
-    return not is_training or targets_usable(df, spec, level)
+    return bool(strict_report(df, spec, is_training, level).agg(F.min("met")).first()[0])
 
 
 def guard_rows(df: DataFrame, is_training: bool, min_rows: int = 1) -> DataFrame:

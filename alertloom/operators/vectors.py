@@ -23,7 +23,7 @@ from alertloom.functions import number, text
 from alertloom.operators.clean import present
 from alertloom.operators.labels import long_values
 from alertloom.operators.ranking import index_within
-from alertloom.session import broadcast_if_small, cut_lineage, is_small
+from alertloom.session import broadcast_if_small, cut_lineage, spread, is_small
 from alertloom.spec import FeatureSpec, TextParams
 
 _UNIGRAMS, _TERMS = "_unigrams", "_terms"
@@ -54,7 +54,7 @@ def term_counts(df: DataFrame, column: str, sizes: tuple[int, int]) -> DataFrame
     Occurrences and first-in-row marks are emitted together, so one aggregation that
     reduces before its shuffle gives both counts; no (row, term) pair is shuffled.
     """
-    rows = with_terms(df.select(column), column, sizes)
+    rows = with_terms(spread(df.select(column)), column, sizes)
     marks = F.concat(
         F.transform(_TERMS, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(
@@ -154,7 +154,7 @@ def transform_tfidf(
 ) -> DataFrame:
     """(key..., term, weight): non-zero weights, each row of norm 1 (or absent)."""
     terms = constant_array([r["term"] for r in vocabulary.orderBy("idx").select("term").collect()])
-    weighted = _weights(df.select(*key, column), column, vocabulary, params, "_weights")
+    weighted = _weights(spread(df.select(*key, column)), column, vocabulary, params, "_weights")
     return (
         weighted.select(*key, F.posexplode(vector_to_array("_weights")).alias("_i", "weight"))
         .where("weight > 0")
@@ -311,10 +311,3 @@ def assemble(
         .transform(rows)
         .select(*keep, name)
     )
-
-
-def vector_norm(vector: str) -> Column:
-    """L2 norm of an ML vector column."""
-    return F.sqrt(F.aggregate(vector_to_array(vector), F.lit(0.0), lambda acc, w: acc + w * w))
-
-

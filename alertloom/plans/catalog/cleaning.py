@@ -233,6 +233,25 @@ def validate_targets(spark, sf_dir):
     return schema.validate_targets(alerts(spark, sf_dir), ALERTS, "both")
 
 
+def _strict_sql() -> str:
+    lines = ["SELECT 'rows' AS rule, '' AS name, count(*) > 0 AS met FROM alerts"]
+    lines += [
+        f"SELECT 'column', '{c}', {str(c in sql.COLUMNS).lower()}"
+        for c in schema.required_columns(ALERTS, is_training=True, strict=True)
+    ]
+    lines += [
+        f"SELECT 'type', '{c}', count(*) FILTER (WHERE CAST({c} AS VARCHAR) <> '' AND ({sql.parsed(c)}) IS NULL) = 0 FROM alerts"
+        for c in sql.NUMBERS
+    ]
+    lines += [f"SELECT 'target', '{c}', count(*) FILTER (WHERE {c} IS NULL) <= 0.9 * count(*) FROM alerts" for c in ALERTS.targets]
+    return " UNION ALL ".join(lines)
+
+
+@query("P7 P15 P16", sql.with_ctes([sql.ALERTS], _strict_sql()))
+def strict_report(spark, sf_dir):
+    return schema.strict_report(alerts(spark, sf_dir), ALERTS, is_training=True)
+
+
 @query("P17", sql.with_ctes(
     [sql.ALERTS],
     "SELECT hit__hit_id, 'decision__last_action' AS target, decision__last_action AS value FROM alerts "

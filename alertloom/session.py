@@ -69,6 +69,15 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that is read in fewer splits than there are cores over all of them.
+
+    For row-local work that costs far more than moving the rows; tables of many splits stay put.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> bool:
     """True if `table` has at most `rows` rows; reads no more than `rows + 1`."""
     return table.limit(rows + 1).count() <= rows
