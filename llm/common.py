@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.session import scratch_path
@@ -13,6 +17,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the two packages' sources to the executors, once a session; their tasks import them."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "sources.zip")
+    with zipfile.ZipFile(path, "w") as sources:
+        for package in ("llm", "alertloom"):
+            for file in sorted((root / package).rglob("*.py")):
+                sources.write(file, file.relative_to(root))
+    context.addPyFile(path)
+
+
 def landed(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it from there.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alertloom.session import scratch_path
 from llm import bpe
+from llm.common import ship
 from llm.exact import exact_groups
 from llm.jaccard import linked_classes
 from llm.lm import stupid_backoff
@@ -22,6 +23,7 @@ from llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
