@@ -76,7 +76,27 @@ def transform_tfidf_plain(spark, sf_dir):
     return _transformed(spark, sf_dir, TextParams(max_features=2000))
 
 
-@query("T4")
+def _vocabularies_sql() -> str:
+    """The vocabulary of each text column that is no label; terms and limits by column."""
+    made, ctes = [], [sql.ALERTS]
+    for c in (c for c in sql.TEXTS if c not in ALERTS.targets):
+        most = ALERTS.text_params(c).max_features
+        ctes += [
+            (f"t_{c}", f"SELECT hit__hit_id, {sql.tokens(sql.clean_text(c))} AS t FROM alerts"),
+            (f"u_{c}", f"SELECT hit__hit_id, unnest(list_concat(t, {sql.bigrams('t')})) AS term FROM t_{c}"),
+            (
+                f"k_{c}",
+                f"SELECT term, count(*) AS tf, count(DISTINCT hit__hit_id) AS df FROM u_{c} GROUP BY 1 HAVING count(DISTINCT hit__hit_id) >= 2 "
+                f"AND count(DISTINCT hit__hit_id) <= 0.9::DOUBLE * (SELECT count(*) FROM alerts) ORDER BY tf DESC, term LIMIT {most}",
+            ),
+        ]
+        made.append(
+            f"SELECT '{c}' AS \"column\", {most} AS max_features, term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, tf, df FROM k_{c}"
+        )
+    return sql.with_ctes(ctes, " UNION ALL ".join(made))
+
+
+@query("T4", _vocabularies_sql())
 def fit_text_features(spark, sf_dir):
     data = clean_by_role(landed_alerts(spark, sf_dir), ALERTS)
     fitted = vectors.fit_text_features(data.drop(*ALERTS.targets), ALERTS)
