@@ -10,6 +10,9 @@ every group meets the group of a shingle's list that holds the shingle earliest,
 the first one of its group. Then only pairs of members that are not yet in one component are made. No link
 between components is lost: every pair that the filter lets pass is either verified or already connected.
 
+Every set has a parity bitmap of its shingles. Two bitmaps differ in no more places than the sets do, so a
+pair that differs in more places than a link allows is left out before any text is moved.
+
 The order of shingles is free; it only decides how much work there is. It is taken from counts of the
 shingles that repeat within a task, the most frequent `ORDERED` of them.
 
@@ -35,6 +38,9 @@ from llm.words import Words, mix, word_slices
 ORDERED = 1 << 19
 #: A shingle with fewer copies counts as rare.
 RARE = 4
+#: Bits of a set's parity bitmap, and of the bitmap of ids whose texts are read again (2 MB).
+BITS = 512
+PLACES = 1 << 24
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +78,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for _, _, words in word_slices(batch.column(0), lower=True):
             held.append(shingles(words, k)[1])
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield counted()
     if held:
         yield counted()
@@ -100,14 +106,22 @@ def _prefixes(batches, k: int, percent: int, order) -> Iterator[pa.RecordBatch]:
                 np.cumsum(mix(hashes + np.uint64(salt)), out=total[1:])
                 sums.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32), pa.array(prefix))
+            bit = (mix(hashes) % np.uint64(BITS)).astype(np.int64)
+            odd = np.bincount(texts * BITS + bit, minlength=(hi - lo) * BITS).reshape(-1, BITS) & 1
+            bits = np.packbits(odd.astype(bool), axis=1).view(np.int64).ravel()
+            bits = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64), pa.array(bits))
             yield pa.record_batch(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists],
-                ["id", "n", "d1", "d2", "prefix"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists, bits],
+                ["id", "n", "d1", "d2", "prefix", "bits"],
             )
 
 
-def _whole_sets(batches, k: int) -> Iterator[pa.RecordBatch]:
+def _whole_sets(batches, k: int, wanted) -> Iterator[pa.RecordBatch]:
+    """The whole sets of the rows whose place is marked."""
     for batch in batches:
+        place = batch.column(2).to_numpy()
+        marked = wanted.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
+        batch = batch.filter(pa.array(marked.astype(bool)))
         for lo, hi, words in word_slices(batch.column(1), lower=True):
             texts, hashes = shingles(words, k)
             edges = np.searchsorted(texts, np.arange(hi - lo + 1)).astype(np.int32)
@@ -135,12 +149,35 @@ def _may_link(percent: int):
     )
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids that link, by their whole sets."""
-    pairs = landed(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    one = rows.join(landed(ids, "pair-ids"), "id").groupBy("id").agg(F.first("text").alias("text"))
-    sets = landed(one.select("id", "text").mapInArrow(partial(_whole_sets, k=k), "id long, tokens array<long>"), "sets")
+def _near_bits(percent: int):
+    """Bitmaps a set's link partner can have; null bitmaps tell nothing."""
+    places = [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)]
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    return F.isnull("bits_a") | F.isnull("bits_b") | (sum(places[1:], places[0]) <= F.col("na") + F.col("nb") - 2 * need)
+
+
+def _marked(ids: DataFrame):
+    """A bitmap of hashed ids for all workers, of PLACES bits whatever the number of ids.
+
+    It only spares rows the way through a shuffle: those it lets pass by chance fall out of the join.
+    """
+    place = ids.select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("bits"))
+    found, bitmap = words.toArrow(), np.zeros(PLACES // 64, np.int64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids that link: by their bitmaps first, then by their whole sets."""
+    of_a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    of_b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    pairs = pairs.distinct().join(of_a, "a").join(of_b, "b").where(_near_bits(percent)).select("a", "b")
+    pairs = landed(pairs, "pairs")
+    ids = landed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    placed = rows.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(PLACES)).alias("place"))
+    whole = placed.mapInArrow(partial(_whole_sets, k=k, wanted=_marked(ids)), "id long, tokens array<long>")
+    sets = landed(whole.join(ids, "id").groupBy("id").agg(F.first("tokens").alias("tokens")), "whole-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b"
     )
@@ -154,17 +191,20 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = _order(rows, k)
     found = landed(
         rows.mapInArrow(
-            partial(_prefixes, k=k, percent=percent, order=order), "id long, n long, d1 long, d2 long, prefix array<long>"
+            partial(_prefixes, k=k, percent=percent, order=order), "id long, n long, d1 long, d2 long, prefix array<long>, bits array<long>"
         ),
         "prefixes",
     )
     # Equal sets: the row with the smallest id stands for them.
     same = ["n", "d1", "d2"]
-    sets = found.where("n > 0").groupBy(same).agg(F.min("id").alias("set_id"), F.first("prefix").alias("prefix"))
+    sets = found.where("n > 0").groupBy(same).agg(F.min("id").alias("set_id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     sets = landed(sets.where("set_id IS NOT NULL").withColumn("p", F.xxhash64("prefix")), "sets")
     # Sets of equal prefix and size: one group, named by its first member.
     groups = landed(
-        sets.groupBy("n", "p").agg(F.min("set_id").alias("gid"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members")),
+        sets.groupBy("n", "p").agg(
+            F.min("set_id").alias("gid"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members"),
+            F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"),
+        ),
         "groups",
     )
     members = landed(sets.select("set_id", "n", "p").join(groups.select("n", "p", "gid", "members"), ["n", "p"]).select("set_id", "gid", "members"), "members")
@@ -182,7 +222,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = star.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).union(
         members.where("set_id <> gid").select("gid", "set_id")
     )
-    near = landed(components(_verified(first, rows, k, percent)), "first-components")
+    near = landed(components(_verified(first, sets, rows, k, percent)), "first-components")
 
     # Second step: pairs between components. A group that lies in one component passes it on.
     placed = landed(
@@ -201,18 +241,21 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = F.isnull("in_a") | F.isnull("in_b") | (F.col("in_a") != F.col("in_b"))
     between = a.join(b, (a.token == b.token) & (F.col("ga") < F.col("gb")) & apart & _may_link(percent)).select("ga", "gb")
     inside = placed.where("members > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    candidates = landed(between.union(inside).distinct(), "group-pairs")
+    bits_a = groups.select(F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    bits_b = groups.select(F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    between = landed(between.distinct(), "group-pairs").join(bits_a, "ga").join(bits_b, "gb").where(_near_bits(percent)).select("ga", "gb")
+    candidates = landed(between.union(inside).distinct(), "near-group-pairs")
     of_a = placed.select(F.col("gid").alias("ga"), F.col("set_id").alias("a"), F.col("component").alias("ca"))
     of_b = placed.select(F.col("gid").alias("gb"), F.col("set_id").alias("b"), F.col("component").alias("cb"))
     rest = candidates.join(of_a, "ga").join(of_b, "gb").where("ca <> cb AND (ga <> gb OR a < b)")
     rest = landed(rest.select("a", "b", "ca", "cb"), "open-pairs")
-    links = _verified(rest.select("a", "b"), rows, k, percent).join(rest, ["a", "b"])
+    links = _verified(rest.select("a", "b"), sets, rows, k, percent).join(rest, ["a", "b"])
     joined = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = placed.join(joined.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left")
     final = landed(final.select("set_id", F.coalesce("last", "component").alias("component_id")), "components")
 
     named = sets.select(*same, "set_id").join(final, "set_id").drop("set_id")
     named = landed(named, "named-sets")
-    return found.drop("prefix").join(named, same, "left").select(
+    return found.drop("prefix", "bits").join(named, same, "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
