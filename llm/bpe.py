@@ -131,6 +131,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
     for batch in batches:
         for ids, texts in text_slices(batch):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(cache.texts(texts), pa.binary())], ["id", "ids"])
+    cache.clear()
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

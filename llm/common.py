@@ -20,9 +20,15 @@ LOWER = UPPER.lower()
 _SHIPPED: set[str] = set()
 
 
+#: Rows that go to a Python worker at once; texts are long, and two copies of a batch are held.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the two packages' sources to the executors, once a session; their tasks import them."""
+    """Make a session ready for the Python tasks: small batches, and the packages' sources on the
+    executors (sent once a session)."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)

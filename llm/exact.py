@@ -21,7 +21,7 @@ from alertloom.session import scratch_path
 from llm.common import ascii_lower, landed
 
 #: Memory for all RocksDB instances of an executor; beyond it they write to disk.
-STATE_MB = 256
+STATE_MB = 64
 
 
 @contextmanager

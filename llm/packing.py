@@ -15,7 +15,7 @@ Edge cases: a null text is empty, and an empty text is one closing id; a text lo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -82,7 +82,7 @@ def _byte_marks() -> dict[int, str]:
 
 
 @lru_cache(2)
-def _tokenizer(path: str, pattern: str, closing: int) -> Callable[[list[str]], list[bytes]]:
+def _tokenizer(path: str, pattern: str) -> UnitCache:
     """An encoder by the file's own BPE model, built once in a worker.
 
     The tokenizer's model gets one piece at a time, in its byte alphabet, as its own splitter would
@@ -97,12 +97,11 @@ def _tokenizer(path: str, pattern: str, closing: int) -> Callable[[list[str]], l
         found = model.tokenize(text.encode().decode("latin-1").translate(marks))
         return np.array([t.id for t in found], "<u4").tobytes()
 
-    cache, end = UnitCache(regex.compile(pattern).findall, piece), np.array([closing], "<u4").tobytes()
-    return lambda texts: [x + end for x in cache.texts(texts)]
+    return UnitCache(regex.compile(pattern).findall, piece)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, pattern: str, closing: int, capacity: int, block: int):
-    encode = _tokenizer(path, pattern, closing)
+    cache, end = _tokenizer(path, pattern), np.array([closing], "<u4").tobytes()
     sequence = TaskContext.get().partitionId() << 40
     ids, held, tokens = [], [], 0
 
@@ -120,14 +119,15 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, pattern: str, closing:
 
     for batch in batches:
         for some, texts in text_slices(batch):
-            for i, x in zip(some, encode(texts), strict=True):
+            for i, x in zip(some, cache.texts(texts), strict=True):
                 ids.append(i)
-                held.append(x)
-                tokens += len(x) // 4
+                held.append(x + end)
+                tokens += len(held[-1]) // 4
                 if tokens >= block:
                     yield flush()
     if held:
         yield flush()
+    cache.clear()
 
 
 def pack(

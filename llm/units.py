@@ -77,6 +77,11 @@ class UnitCache:
                 units[-1] += " " + u
         return b"".join(map(self._unit, units))
 
+    def clear(self) -> None:
+        """Give the memory back; a worker may have other work to do after a task."""
+        self._units.clear()
+        self._pieces.clear()
+
     def texts(self, texts: Sequence[str]) -> list[bytes]:
         return list(map(self.text, texts))
 
