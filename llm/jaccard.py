@@ -38,7 +38,7 @@ from llm.words import Words, mix, word_slices
 ORDERED = 1 << 19
 #: A shingle with fewer copies counts as rare.
 RARE = 4
-#: Bits of a set's parity bitmap, and of the bitmap of ids whose texts are read again (2 MB).
+#: Least bits of a set's parity bitmap, and bits of the bitmap of ids whose texts are read again (2 MB).
 BITS = 512
 PLACES = 1 << 24
 
@@ -106,10 +106,12 @@ def _prefixes(batches, k: int, percent: int, order) -> Iterator[pa.RecordBatch]:
                 np.cumsum(mix(hashes + np.uint64(salt)), out=total[1:])
                 sums.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32), pa.array(prefix))
-            bit = (mix(hashes) % np.uint64(BITS)).astype(np.int64)
-            odd = np.bincount(texts * BITS + bit, minlength=(hi - lo) * BITS).reshape(-1, BITS) & 1
-            bits = np.packbits(odd.astype(bool), axis=1).view(np.int64).ravel()
-            bits = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64), pa.array(bits))
+            # A power of two of at least one bit a shingle; larger maps fold onto smaller ones.
+            size = BITS << np.ceil(np.log2(np.maximum(n, BITS) / BITS)).astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(size)])
+            bit = (mix(hashes) % size[texts].astype(np.uint64)).astype(np.int64) + begin[texts]
+            odd = np.bincount(bit, minlength=begin[-1]) & 1
+            bits = pa.ListArray.from_arrays((begin // 64).astype(np.int32), pa.array(np.packbits(odd.astype(bool)).view(np.int64)))
             yield pa.record_batch(
                 [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists, bits],
                 ["id", "n", "d1", "d2", "prefix", "bits"],
@@ -151,9 +153,17 @@ def _may_link(percent: int):
 
 def _near_bits(percent: int):
     """Bitmaps a set's link partner can have; null bitmaps tell nothing."""
-    places = [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)]
+
+    def folded(own: str, other: str):
+        half = (F.size(own) / 2).cast("int")
+        fold = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), fold).otherwise(F.col(own))
+
+    # Sizes of possible partners are a step apart at most, as their maps are.
+    places = F.zip_with(folded("bits_a", "bits_b"), folded("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(places, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return F.isnull("bits_a") | F.isnull("bits_b") | (sum(places[1:], places[0]) <= F.col("na") + F.col("nb") - 2 * need)
+    return F.isnull("bits_a") | F.isnull("bits_b") | (differing <= F.col("na") + F.col("nb") - 2 * need)
 
 
 def _marked(ids: DataFrame):
