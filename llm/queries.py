@@ -1,4 +1,4 @@
-"""The eleven queries of this folder; each derives its columns from an operator's output."""
+"""The queries of this folder; each derives its columns from an operator's output."""
 
 from __future__ import annotations
 
@@ -81,6 +81,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 3).alias("log_score"))
 
 
+def op7_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams too: chains of back-offs, from three words to two to one."""
+    scores = stupid_backoff(table(spark, sf_dir, "documents"), order=3)
+    return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 3).alias("log_score"))
+
+
 OP7_SQL = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
+    "op7_lm_scoring_order3": op7_lm_scoring_order3,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,

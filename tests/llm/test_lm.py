@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from llm import lm
+from llm import lm, queries
 from llm.lm import stupid_backoff
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,3 +49,13 @@ def test_matches_brute_force(documents, monkeypatch, order):
 
 def test_empty_table(documents):
     assert stupid_backoff(documents([])).collect() == []
+
+
+def test_registered_query_counts_trigrams(documents, tmp_path):
+    rows = [(1, "a b c d"), (2, "a b c"), (3, "x b d"), (4, "b d b d a"), (5, None)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op7_lm_scoring_order3"](documents([]).sparkSession, str(tmp_path)).collect()))
+    want = brute(rows, 3)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 1e-3 for a, b in zip(got, want))
+    assert any(abs(a[2] - b[2]) > 0.1 for a, b in zip(got, brute(rows, 2)))
