@@ -1,4 +1,4 @@
-"""Queries for classifiers: few rounds, whole tables."""
+"""Queries for classifiers: the default learners, whole tables."""
 
 from __future__ import annotations
 
@@ -12,14 +12,9 @@ from alertloom.plans.catalog.labelling import FITTED
 from alertloom.plans.catalog.registry import query, rounded
 from alertloom.plans.preprocess import preprocess
 from alertloom.session import stored
-from alertloom.spec import ALERTS, ModelParams
-
-# Fewer rounds than the default, so that the whole catalog runs in minutes; all targets and columns.
-_FEW = ModelParams(rounds=3, depth=3)
-_TREES = ModelParams(kind="forest", rounds=8, depth=5)
-SPEC = ALERTS.with_(model=_FEW, target_models=tuple((t, _TREES) for t, _ in ALERTS.target_models))
-# Forests throughout, for the query that fits once a fold.
-LIGHT = ALERTS.with_(model=_TREES, target_models=())
+from alertloom.spec import ALERTS
+
+SPEC = ALERTS
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 CLASS_COUNTS = ("class_counts", "SELECT target, count(*) AS classes, max(n) AS most, sum(n) AS samples FROM labels_table GROUP BY 1")
@@ -200,9 +195,9 @@ def train_job(spark, sf_dir):
 
 @query("G12 W3", sql.with_ctes([TARGET_LIST], "SELECT target, 5 AS folds, true AS mean_agrees, true AS spread_agrees, true AS within FROM targets_list"))
 def cross_validate(spark, sf_dir):
-    data = stored(preprocess(landed_alerts(spark, sf_dir), LIGHT))
-    classes = labels.fit_labels(data, LIGHT.targets)
-    scores = models.cross_validate(data, LIGHT, classes, LIGHT.order, k=5)
+    data = stored(preprocess(landed_alerts(spark, sf_dir), SPEC))
+    classes = labels.fit_labels(data, SPEC.targets)
+    scores = models.cross_validate(data, SPEC, classes, SPEC.order, k=5)
     mean = F.aggregate("cv_scores", F.lit(0.0), lambda a, x: a + x) / F.size("cv_scores")
     spread = F.sqrt(F.aggregate(F.transform("cv_scores", lambda x: x * x), F.lit(0.0), lambda a, x: a + x) / F.size("cv_scores") - mean * mean)
     return scores.select(
@@ -230,6 +225,6 @@ def make_classifier(spark, sf_dir):
     classes = rows.select("label").distinct().count()
     made = []
     for name in models.available_classifiers():
-        classifier = models.make_classifier(name.upper(), rounds=2, depth=3)(classes)
+        classifier = models.make_classifier(name.upper())(classes)
         made.append((name, models.train_accuracy(rows, classifier.fit(rows)) > 0.5))
     return spark.createDataFrame(made, "name string, learned boolean")

@@ -149,3 +149,11 @@ def test_validation_branches(spark, trained):
     counts, info = jobs.validate_job(raw.drop(*FORWARD.targets), result.model)
     totals = counts.where("predicted_class IS NULL").collect()
     assert {r["n"] for r in totals} == {90} and info.first()["missing_targets"] == list(FORWARD.targets)
+
+
+def test_model_queries_use_the_default_spec():
+    from alertloom.plans.catalog import modelling
+    from alertloom.spec import ALERTS
+
+    assert modelling.SPEC == ALERTS and not hasattr(modelling, "LIGHT")
+    assert (ALERTS.model.kind, ALERTS.model.rounds, ALERTS.model.depth) == ("boosted", 100, 4)
