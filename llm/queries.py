@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alertloom.session import scratch_path
 from llm import bpe
+from llm.collocations import best_of_each, collocations
 from llm.common import ship
 from llm.exact import exact_groups
 from llm.jaccard import linked_classes
@@ -140,6 +141,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = best_of_each(collocations(table(spark, sf_dir, "documents")), 2000)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM w, range(1, 6) AS s(size)),
+f AS (
+  SELECT lang, size, phrase, count(*) AS f
+  FROM (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM grams) GROUP BY ALL HAVING count(*) >= 100
+), c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, k, a, l.f AS l, r.f AS r, totals.n, (1000::HUGEINT * a * totals.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN range(1, 5) AS t(k) ON k < c.size JOIN totals ON totals.lang = c.lang
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')
+), inside AS (
+  SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a, ws, m, unnest(range(1, size - m + 2)) AS i FROM c JOIN range(2, 5) AS t(m) ON m < c.size)
+), gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest ANTI JOIN gone USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_nn_descent": op2_nn_descent,
@@ -152,5 +188,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
 }
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL, "op11_collocations": OP11_SQL}
