@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from alertloom.session import scratch_path
 from llm import bpe
+from llm.chat import conversation_digests, read_chat, write_chat
 from llm.collocations import best_of_each, collocations
 from llm.common import ship
 from llm.exact import exact_groups
 from llm.jaccard import linked_classes
 from llm.lm import stupid_backoff
+from llm.negatives import mine_negatives
 from llm.neighbours import build, search
 from llm.packing import pack
 from llm.phrases import repeated_passages
@@ -176,6 +178,69 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 """
 
 
+#: A text of nothing but control strings, said and answered.
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "conv_id long, turn long, role string, text string"
+    planted = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], columns)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    folder = scratch_path(spark, "chat")
+    write_chat(rows, folder)
+    order = spark.read.parquet(f"{folder}/conversations").select(F.col("conv_id").alias("_id"), "valid")
+    digests = conversation_digests(read_chat(spark, folder))
+    return digests.join(order, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, list_sum([(length(x) - length(replace(x, c, ''))) // length(c) FOR c IN
+    ['\', '<<SYS>>', '<</SYS>>', '[INST]', '[/INST]', '<s>', '</s>', '[ROLE]', '[TEXT]', '[/ROLE]']]) AS marks
+  FROM (SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN text ELSE role || chr(10) || text END AS x FROM t)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + marks + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10
+    ELSE length(role) + 25 END) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
+    ORDER BY turn, role), 's?(ua)+') AS valid
+FROM e GROUP BY conv_id
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return mine_negatives(rows, F.col("id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_nn_descent": op2_nn_descent,
@@ -189,5 +254,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op11_collocations": op11_collocations,
+    "op12_chat": op12_chat,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+    "op7_lm_scoring": OP7_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_chat": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL, "op11_collocations": OP11_SQL}
