@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
-    Normalizer,
-    StringIndexerModel,
-    VectorAssembler,
-    VectorSizeHint,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +19,7 @@ from alertloom.functions import number, text
 from alertloom.operators.clean import present
 from alertloom.operators.labels import long_values
 from alertloom.operators.ranking import index_within
-from alertloom.session import broadcast_if_small, cut_lineage, spread, is_small
+from alertloom.session import broadcast_if_small, cut_lineage, is_small, ship_sources, spread, stored
 from alertloom.spec import FeatureSpec, TextParams
 
 _UNIGRAMS, _TERMS = "_unigrams", "_terms"
@@ -48,13 +44,13 @@ def tokenize(
     return rows.select(*key, F.explode(_TERMS).alias("term"))
 
 
-def term_counts(df: DataFrame, column: str, sizes: tuple[int, int]) -> DataFrame:
-    """(term, tf, df): occurrences and rows holding the term.
+def term_counts(df: DataFrame, column: str, sizes: tuple[int, int], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., term, tf, df): occurrences and rows holding the term.
 
     Occurrences and first-in-row marks are emitted together, so one aggregation that
     reduces before its shuffle gives both counts; no (row, term) pair is shuffled.
     """
-    rows = with_terms(spread(df.select(column)), column, sizes)
+    rows = with_terms(spread(df.select(*by, column)), column, sizes)
     marks = F.concat(
         F.transform(_TERMS, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(
@@ -63,8 +59,8 @@ def term_counts(df: DataFrame, column: str, sizes: tuple[int, int]) -> DataFrame
         ),
     )
     return (
-        rows.select(F.inline(marks))
-        .groupBy("term")
+        rows.select(*by, F.inline(marks))
+        .groupBy(*by, "term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
 
@@ -79,7 +75,12 @@ def fit_tfidf(df: DataFrame, column: str, params: TextParams, rows: int | None =
     n = df.count() if rows is None else rows
     if params.max_df * n < params.min_df:
         raise ValueError(f"max_df admits fewer rows than min_df for {column}")
-    kept = term_counts(df, column, params.ngrams).where(
+    return _vocabulary(term_counts(df, column, params.ngrams), params, n)
+
+
+def _vocabulary(counts: DataFrame, params: TextParams, n: int) -> DataFrame:
+    """The vocabulary of `n` rows from their term counts."""
+    kept = counts.where(
         (F.col("df") >= params.min_df) & (F.col("df") <= F.lit(params.max_df * n))
     )
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(params.max_features)
@@ -115,51 +116,65 @@ def fit_text_features(df: DataFrame, spec: FeatureSpec) -> dict[str, tuple[DataF
     return fitted
 
 
-def constant_array(values: Sequence[str]) -> Column:
-    """A string array as one literal; Spark folds the split away."""
-    return F.split(F.lit("\x1f".join(values)), "\x1f")
-
-
-def _weights(
-    df: DataFrame, column: str, vocabulary: DataFrame, params: TextParams, name: str
-) -> DataFrame:
-    """Add the vector of L2-normalised weights, one place per vocabulary term.
-
-    Counting is a hash lookup within the row, so nothing is shuffled, and plain counts
-    stay sparse throughout. Each step is an ML transformer on one column: the same
-    steps as array lambdas would be inlined and repeated for every element.
-    """
+def _counted(df: DataFrame, column: str, vocabulary: DataFrame, params: TextParams, name: str) -> tuple[DataFrame, TextBlock]:
+    """Add the sparse counts of the vocabulary's terms as a struct of arrays; nothing is shuffled."""
     # At most max_features rows.
     vocab = vocabulary.orderBy("idx").select("term", "idf").collect()
-    rows = with_terms(df, column, params.ngrams)
-    counter = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in vocab], inputCol=_TERMS, outputCol="_counts"
-    )
-    rows = counter.transform(rows)
-    if params.sublinear:
-        damped = F.transform(
-            vector_to_array("_counts"), lambda tf: F.when(tf > 0, 1.0 + F.log(tf)).otherwise(0.0)
-        )
-        rows = rows.withColumn("_counts", array_to_vector(damped))
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense([r["idf"] for r in vocab]), inputCol="_counts", outputCol="_scaled"
-    )
-    norm = Normalizer(p=2.0, inputCol="_scaled", outputCol=name)
-    size = VectorSizeHint(inputCol=name, size=len(vocab), handleInvalid="optimistic")
-    return size.transform(norm.transform(scale.transform(rows))).drop(_TERMS, "_counts", "_scaled")
+    terms = [r["term"] for r in vocab]
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol=_TERMS, outputCol="_counts")
+    rows = counter.transform(with_terms(df, column, params.ngrams)).withColumn(name, F.unwrap_udt("_counts")).drop(_TERMS, "_counts")
+    return rows, TextBlock(terms, np.array([r["idf"] for r in vocab], np.float64), params.sublinear)
+
+
+@dataclass
+class TextBlock:
+    """Terms of one text column with their weights."""
+
+    terms: list[str]
+    idf: np.ndarray
+    sublinear: bool
+
+    def weigh(self, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, weight) of the entries that are not zero; each row has norm 1."""
+        place, sizes, tf = sparse_entries(counts)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        weight = (1.0 + np.log(tf) if self.sublinear else tf) * self.idf[place]
+        norm = np.sqrt(np.bincount(row, weight * weight, len(sizes)))
+        return row, place, weight / norm[row]
+
+
+def sparse_entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, entries of each row, values) of unwrapped vectors, sparse or dense."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    kind, values, indices = (column.field(f) for f in ("type", "values", "indices"))
+    ends, given = values.offsets.to_numpy(), indices.offsets.to_numpy()
+    sizes = np.diff(ends)
+    flat = values.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    places = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)
+    sparse = np.repeat(kind.to_numpy(zero_copy_only=False) == 0, sizes)
+    places[sparse] = indices.values.to_numpy(zero_copy_only=False)[given[0] : given[-1]]
+    return places.astype(np.int64), sizes, flat
+
+
+def _long_weights(batches, block: TextBlock) -> Iterator[pa.RecordBatch]:
+    """Keys, term and weight of every entry; the counts are the last column."""
+    terms = pa.array(block.terms, pa.string())
+    for batch in batches:
+        row, place, weight = block.weigh(batch.column(batch.num_columns - 1))
+        keys = [c.take(pa.array(row)) for c in batch.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*keys, terms.take(pa.array(place)), pa.array(weight)], [*batch.schema.names[:-1], "term", "weight"])
 
 
 def transform_tfidf(
     df: DataFrame, column: str, key: Sequence[str], vocabulary: DataFrame, params: TextParams
 ) -> DataFrame:
     """(key..., term, weight): non-zero weights, each row of norm 1 (or absent)."""
-    terms = constant_array([r["term"] for r in vocabulary.orderBy("idx").select("term").collect()])
-    weighted = _weights(spread(df.select(*key, column)), column, vocabulary, params, "_weights")
-    return (
-        weighted.select(*key, F.posexplode(vector_to_array("_weights")).alias("_i", "weight"))
-        .where("weight > 0")
-        .select(*key, F.element_at(terms, F.col("_i") + 1).alias("term"), "weight")
-    )
+    ship_sources(df.sparkSession)
+    counted, block = _counted(spread(df.select(*key, column)), column, vocabulary, params, "_weights")
+    counted = counted.select(*key, "_weights")
+    schema = counted.drop("_weights").schema.add("term", "string").add("weight", "double")
+    return counted.mapInArrow(partial(_long_weights, block=block), schema)
 
 
 def _category(column: str) -> Column:
@@ -283,6 +298,86 @@ def fit_features(df: DataFrame, spec: FeatureSpec) -> FittedFeatures:
     )
 
 
+def _merged(parts: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    """(n, mean, sum of squared deviations) of several sets of rows together."""
+    n, mean, off = 0.0, 0.0, 0.0
+    for m, other, spread_ in parts:
+        if m:
+            total, gap = n + m, other - mean
+            off += spread_ + gap * gap * n * m / total
+            n, mean = total, mean + gap * m / total
+    return n, mean, off
+
+
+def fit_fold_features(df: DataFrame, spec: FeatureSpec, fold: str, k: int) -> list[FittedFeatures]:
+    """What `fit_features` finds on the rows outside each of the folds 0..k-1, from statistics kept per fold.
+
+    Term counts and values are counted once by fold; training counts are the whole less the fold's own.
+    Moments of the other folds are merged, which loses no digits to differences.
+    """
+    inputs = df.drop(*spec.targets)
+    texts: list[dict] = _fold_texts(inputs, spec, fold, k)
+    categorical, numeric = present(inputs, spec.categorical), present(inputs, spec.numeric)
+    codes = _fold_codes(inputs, categorical, fold, k)
+    values = {c: _number(inputs, c) for c in numeric}
+    sums = [a for c in numeric for a in (F.count(values[c]), F.avg(values[c]), F.var_pop(values[c]) * F.count(values[c]))]
+    moments: dict[int, list] = {}
+    if numeric:
+        # One row per fold.
+        moments = {r[0]: list(r[1:]) for r in inputs.groupBy(fold).agg(*[a.alias(f"a{i}") for i, a in enumerate(sums)]).collect()}
+    fitted = []
+    for f in range(k):
+        others = [m for g, m in moments.items() if g != f]
+        merged = {c: _merged([tuple(x or 0.0 for x in m[3 * i : 3 * i + 3]) for m in others]) for i, c in enumerate(numeric)}
+        scaled = {c: (mean, math.sqrt(off / n) or 1.0) if n else (0.0, 1.0) for c, (n, mean, off) in merged.items()}
+        fitted.append(FittedFeatures(texts[f], codes[f], tuple(categorical), scaled))
+    return fitted
+
+
+def _fold_texts(df: DataFrame, spec: FeatureSpec, fold: str, k: int) -> list[dict]:
+    columns = present(df, spec.text)
+    filled = [F.count_if(F.length(text.strip(F.col(c))) > 0).alias(f"c{i}") for i, c in enumerate(columns)]
+    # One row per fold.
+    by_fold = {r[0]: list(r[1:]) for r in df.groupBy(fold).agg(F.count("*").alias("n"), *filled).collect()}
+    whole = [sum(x) for x in zip(*by_fold.values())] or [0] * (1 + len(columns))
+    counts: dict[tuple, DataFrame] = {}
+
+    def counted(c: str, sizes: tuple[int, int]) -> DataFrame:
+        if (c, sizes) not in counts:
+            found = term_counts(df, c, sizes, [fold])
+            own = [F.sum(F.when(F.col(fold) == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for f in range(k) for x in ("tf", "df")]
+            counts[c, sizes] = stored(found.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), *own), "fold-terms")
+        return counts[c, sizes]
+
+    out = []
+    for f in range(k):
+        own = by_fold.get(f, [0] * (1 + len(columns)))
+        n, fitted = whole[0] - own[0], {}
+        for i, c in enumerate(columns):
+            if whole[1 + i] - own[1 + i] < 2:
+                continue
+            for params in (spec.text_params(c), spec.fallback_text):
+                if params.max_df * n < params.min_df:
+                    continue
+                left = counted(c, params.ngrams).select("term", (F.col("tf") - F.col(f"tf{f}")).alias("tf"), (F.col("df") - F.col(f"df{f}")).alias("df"))
+                vocabulary = _vocabulary(left, params, n)
+                if not vocabulary.isEmpty():
+                    fitted[c] = (vocabulary, params)
+                    break
+        out.append(fitted)
+    return out
+
+
+def _fold_codes(df: DataFrame, columns: list[str], fold: str, k: int) -> list[DataFrame | None]:
+    if not columns:
+        return [None] * k
+    own = [F.count_if(F.col(fold) == f).alias(f"n{f}") for f in range(k)]
+    # Counted by (column, value) before anything is shuffled.
+    counts = long_values(df, columns, _category, name="column", keep=[fold]).groupBy("column", "value").agg(F.count("*").alias("n"), *own)
+    counts = stored(counts, "fold-values")
+    return [index_within(counts.where(F.col("n") > F.col(f"n{f}")).select("column", "value"), ["column"], ["value"], "code") for f in range(k)]
+
+
 def assemble(
     df: DataFrame, fitted: FittedFeatures, keep: Sequence[str], name: str = "features"
 ) -> DataFrame:
@@ -290,24 +385,47 @@ def assemble(
 
     Input columns that are absent count as null, so the width is always that of training.
     """
-    blocks: list[str] = []
+    ship_sources(df.sparkSession)
     inputs = [*fitted.texts, *fitted.categorical, *fitted.moments]
     df = df.withColumns({c: F.lit(None).cast("string") for c in inputs if c not in df.columns})
     needed = [c for c in df.columns if c in {*keep, *inputs}]
     rows = df.select(*needed)
+    texts: list[TextBlock] = []
     for i, (c, (vocabulary, params)) in enumerate(fitted.texts.items()):
-        rows = _weights(rows, c, vocabulary, params, f"_text{i}")
-        blocks.append(f"_text{i}")
+        rows, block = _counted(rows, c, vocabulary, params, f"_text{i}")
+        texts.append(block)
     if fitted.categorical:
         rows = ordinal_encode(rows, fitted.codes, fitted.categorical, suffix="__code")
-        blocks += [f"{c}__code" for c in fitted.categorical]
     rows = standardize(rows, fitted.moments, suffix="__std")
-    blocks += [f"{c}__std" for c in fitted.moments]
-    if not blocks:
-        empty = array_to_vector(F.array().cast("array<double>"))
-        return rows.select(*keep, empty.alias(name))
-    return (
-        VectorAssembler(inputCols=blocks, outputCol=name, handleInvalid="keep")
-        .transform(rows)
-        .select(*keep, name)
-    )
+    plain = [*(f"{c}__code" for c in fitted.categorical), *(f"{c}__std" for c in fitted.moments)]
+    numbers = F.array(*[F.col(c).cast("double") for c in plain]).cast("array<double>").alias("_numbers")
+    rows = rows.select(*keep, *[f"_text{i}" for i in range(len(texts))], numbers)
+    schema = df.select(*keep).schema.add(name, VectorUDT())
+    return rows.mapInArrow(partial(_packed, texts=texts, plain=len(plain), name=name), schema)
+
+
+def _packed(batches, texts: list[TextBlock], plain: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Kept columns and one sparse vector per row, from the counts of each text and the plain numbers."""
+    size = sum(len(t.terms) for t in texts) + plain
+    for batch in batches:
+        n, kept = batch.num_rows, batch.num_columns - len(texts) - 1
+        parts, start = [], 0
+        for i, block in enumerate(texts):
+            row, place, weight = block.weigh(batch.column(kept + i))
+            parts.append((row, place + start, weight))
+            start += len(block.terms)
+        numbers = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(n, plain)
+        row, place = np.nonzero(numbers)
+        parts.append((row, place + start, numbers[row, place]))
+        row, place, value = (np.concatenate(x) for x in zip(*parts))
+        # Blocks follow each other by place, so a stable sort by row leaves places in order.
+        order = np.argsort(row, kind="stable")
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+        vector = pa.StructArray.from_arrays(
+            [
+                pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)),
+                pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[order])),
+            ],
+            ["type", "size", "indices", "values"],
+        )
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], vector], [*batch.schema.names[:kept], name])

@@ -42,7 +42,7 @@ def _known(scored, model):
 # At least as good on the rows it was fitted on as naming the most frequent class.
 @query("M5 J4", sql.with_ctes(
     [*FITTED, CLASS_COUNTS],
-    "SELECT target, CASE WHEN target LIKE '%comments' THEN 'forest' WHEN classes = 2 THEN 'boosted' ELSE 'one_vs_rest' END AS kind, "
+    "SELECT target, CASE WHEN target LIKE '%comments' THEN 'forest' ELSE 'boosted' END AS kind, "
     "CAST(classes AS INTEGER) AS classes, CAST(samples AS BIGINT) AS samples, true AS learned FROM class_counts",
 ))
 def fit_targets(spark, sf_dir):
@@ -155,7 +155,7 @@ def select_k_best(spark, sf_dir):
     matrix = vectors.assemble(encoded, model.features, ["hit__review_decision__y"])
     selector = models.select_k_best(matrix, "hit__review_decision__y", 50)
     names = model.features.names()
-    rows = spark.createDataFrame([(int(i), names[i]) for i in selector.selectedFeatures], "idx int, feature string")
+    rows = spark.createDataFrame([(int(i), names[i]) for i in selector.getIndices()], "idx int, feature string")
     return rows.agg(
         F.count("*").alias("picked"), F.countDistinct("feature").alias("different"), (F.max("idx") < len(names)).alias("known")
     )
@@ -223,8 +223,12 @@ def make_classifier(spark, sf_dir):
     matrix = vectors.assemble(encoded, model.features, ["hit__review_decision__y"])
     rows = stored(matrix.withColumn("label", F.col("hit__review_decision__y").cast("double")))
     classes = rows.select("label").distinct().count()
-    made = []
+    # Several names stand for one learner; it is fitted once.
+    learned, made = {}, []
     for name in models.available_classifiers():
         classifier = models.make_classifier(name.upper())(classes)
-        made.append((name, models.train_accuracy(rows, classifier.fit(rows)) > 0.5))
+        kind = type(classifier).__name__
+        if kind not in learned:
+            learned[kind] = models.train_accuracy(rows, classifier.fit(rows)) > 0.5
+        made.append((name, learned[kind]))
     return spark.createDataFrame(made, "name string, learned boolean")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,23 @@ def local_session(app: str = "alertloom", cores: str = "*", partitions: int = 8)
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_sources(spark: SparkSession) -> None:
+    """Send the package's sources to the executors, once a session; its Arrow functions run there."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "package.zip")
+    with zipfile.ZipFile(path, "w") as sources:
+        for file in sorted(package.rglob("*.py")):
+            sources.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it."""
     sc = spark.sparkContext

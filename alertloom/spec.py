@@ -120,7 +120,10 @@ class TextParams:
 
 @dataclass(frozen=True)
 class ModelParams:
-    """Classifier settings. `kind` is 'boosted' or 'forest', whatever the number of classes."""
+    """Classifier settings. `kind` is 'boosted' or 'forest', whatever the number of classes.
+
+    `alpha`, `ridge` and `gamma` regularise boosting; `min_weight` is the least curvature on a side of its splits.
+    """
 
     kind: str = "boosted"
     rounds: int = 100
@@ -129,6 +132,10 @@ class ModelParams:
     subsample: float = 0.8
     column_share: float = 0.8
     min_rows_per_leaf: int = 3
+    alpha: float = 0.1
+    ridge: float = 1.0
+    gamma: float = 0.1
+    min_weight: float = 3.0
     seed: int = 42
     parallelism: int = 4
 
