@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,34 @@ def landed(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
 
     Cuts the lineage: lost executors cost a re-read. Later passes read only the columns they use.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = noted(scratch_path(df.sparkSession, name))
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Scratch folders since the last `forget_scratch`.
+_NOTED: list[str] = []
+
+
+def noted(path: str) -> str:
+    """The path, which `forget_scratch` will remove."""
+    _NOTED.append(path)
+    return path
+
+
+def forget_scratch(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Remove the scratch folders noted so far, but for those that hold a file of `keep`.
+
+    For a job of stages: what is read from an earlier stage must have been written by then.
+    """
+    needed = {urlparse(k).path for k in keep}
+    left = [p for p in _NOTED if any(k.startswith(f"{urlparse(p).path}/") for k in needed)]
+    for path in set(_NOTED) - set(left):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _NOTED[:] = left
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.session import scratch_path
-from llm.common import ascii_lower, landed
+from llm.common import ascii_lower, landed, noted
 
 #: Memory for all RocksDB instances of an executor; beyond it they write to disk.
 STATE_MB = 64
@@ -72,7 +72,7 @@ def digest_state(rows: DataFrame, files_per_trigger: int | None = None) -> DataF
         .groupBy("digest")
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
-    out = scratch_path(spark, "digest-state")
+    out = noted(scratch_path(spark, "digest-state"))
 
     def emit(batch: DataFrame, number: int) -> None:
         # A batch that is run again replaces its own folder.
@@ -81,7 +81,7 @@ def digest_state(rows: DataFrame, files_per_trigger: int | None = None) -> DataF
     with _disk_state(spark):
         query = (
             state.writeStream.outputMode("update")
-            .option("checkpointLocation", scratch_path(spark, "digest-stream"))
+            .option("checkpointLocation", noted(scratch_path(spark, "digest-stream")))
             .trigger(availableNow=True)
             .foreachBatch(emit)
             .start()
