@@ -9,6 +9,7 @@ from alertloom.plans.catalog import (  # noqa: E402,F401
     evaluation,
     labelling,
     logs,
+    matrices,
     modelling,
     profiling,
     splitting,
