@@ -79,10 +79,10 @@ def test_balanced_weights(spark):
 
 
 def test_registry(spark):
-    assert models.classifier_for(ModelParams(), 2).__class__.__name__ == "GBTClassifier"
-    assert models.make_classifier("Hierarchical_Boosting", rounds=2)(3).__class__.__name__ == "OneVsRest"
+    assert models.classifier_for(ModelParams(), 2).__class__.__name__ == "SoftmaxBooster"
+    assert models.make_classifier("Hierarchical_Boosting", rounds=2)(3).__class__.__name__ == "SoftmaxBooster"
     # The number of classes never changes the learner.
-    assert models.make_classifier("hierarchical_boosting")(500).__class__.__name__ == "OneVsRest"
+    assert models.make_classifier("hierarchical_boosting")(500).__class__.__name__ == "SoftmaxBooster"
     assert models.make_classifier("forest")(2).__class__.__name__ == "RandomForestClassifier"
     with pytest.raises(ValueError):
         models.make_classifier("nope")
