@@ -9,13 +9,13 @@ sequences of a power of two, so nothing is padded.
 Packing is a narrow map: a task reads its rows once, holds one block of them, and shuffles nothing,
 so no key can be hot. Which documents share a sequence depends on the input partitions.
 
-Edge cases: a null text is empty, and an empty text is one closing id; a text longer than a sequence
+Edge cases: added tokens of the file (as `<|endoftext|>`) are found in a text, as the tokenizer does by default; a null text is empty, and an empty text is one closing id; a text longer than a sequence
 (or a block) is cut; repeated rows are packed each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -82,26 +82,40 @@ def _byte_marks() -> dict[int, str]:
 
 
 @lru_cache(2)
-def _tokenizer(path: str, pattern: str) -> UnitCache:
-    """An encoder by the file's own BPE model, built once in a worker.
+def _tokenizer(path: str, pattern: str) -> tuple[UnitCache, Callable[[str], bytes]]:
+    """An encoder of texts by the file's own BPE model, and its cache, built once in a worker.
 
-    The tokenizer's model gets one piece at a time, in its byte alphabet, as its own splitter would
+    A text is cut at the added tokens of the file, the longest where several start. What lies between
+    goes to the tokenizer's model piece by piece, in its byte alphabet, as its own splitter would
     hand it over.
     """
     import regex
     from tokenizers import Tokenizer
 
-    model, marks = Tokenizer.from_file(path).model, _byte_marks()
+    tokenizer, marks = Tokenizer.from_file(path), _byte_marks()
+    model, added = tokenizer.model, tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        raise ValueError("added tokens that strip spaces or stand for whole words only are not supported")
+    single = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+    cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(single, key=len, reverse=True))) + ")") if single else None
 
     def piece(text: str) -> bytes:
         found = model.tokenize(text.encode().decode("latin-1").translate(marks))
         return np.array([t.id for t in found], "<u4").tobytes()
 
-    return UnitCache(regex.compile(pattern).findall, piece)
+    cache = UnitCache(regex.compile(pattern).findall, piece)
+
+    def encode(text: str) -> bytes:
+        if not any(t in text for t in single):
+            return cache.text(text)
+        # Every second part is an added token.
+        return b"".join(single[part] if k % 2 else cache.text(part) for k, part in enumerate(cuts.split(text)))
+
+    return cache, encode
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, pattern: str, closing: int, capacity: int, block: int):
-    cache, end = _tokenizer(path, pattern), np.array([closing], "<u4").tobytes()
+    (cache, encode), end = _tokenizer(path, pattern), np.array([closing], "<u4").tobytes()
     sequence = TaskContext.get().partitionId() << 40
     ids, held, tokens = [], [], 0
 
@@ -119,7 +133,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, pattern: str, closing:
 
     for batch in batches:
         for some, texts in text_slices(batch):
-            for i, x in zip(some, cache.texts(texts), strict=True):
+            for i, x in zip(some, map(encode, texts), strict=True):
                 ids.append(i)
                 held.append(x + end)
                 tokens += len(held[-1]) // 4
@@ -137,7 +151,7 @@ def pack(
     """One row per piece: its document, place there, ids, and place in its sequence.
 
     `tokenizer` is a byte-level BPE file that every executor can read, `pattern` what it splits text by.
-    Special tokens in a text are ordinary text. `capacity` is a power of two.
+    `capacity` is a power of two.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run = partial(_packed, path=tokenizer, pattern=pattern, closing=closing, capacity=capacity, block=block)

@@ -42,11 +42,10 @@ def test_costs_are_balanced():
 
 def test_ids_are_the_tokenizers(spark, documents, sf_dir):
     real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    odd = [None, "", " ", "a  b", "x\n\n y", "  lead", "trail  ", "tab\t x", "é  ü", "I'll  'll", "long " * 5000, "<|endoftext|>", "x\u3000y \xa0z \x85 \u0301a b\u0301", "a_b. _c ,, .x"]
+    odd = [None, "", " ", "a  b", "x\n\n y", "  lead", "trail  ", "tab\t x", "é  ü", "I'll  'll", "long " * 5000, "<|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>", " <|endoftext|>\n x", "<|endoftext", "x\u3000y \xa0z \x85 \u0301a b\u0301", "a_b. _c ,, .x"]
     rows = list(enumerate(odd + real)) + [(0, None)]
     out = pack(documents(rows), PATH, P.PATTERN, block=20_000).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     got, places = defaultdict(list), defaultdict(list)
     for r in out:
         got[r.id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
