@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from llm.common import landed
 
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (id, component) for every end; the component is its smallest id.
@@ -21,9 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("component")),
         "labels",
     )
-    for _ in range(ROUNDS):
-        if edges.isEmpty():
-            break
+    # Every round takes at least one label away, so it ends, and with no edge left over.
+    while not edges.isEmpty():
         # Every label that is the larger end of an edge gets its smallest partner; then labels are
         # followed to the end of their chains, twice as far each time.
         hooks = landed(edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to")), "hooks")
