@@ -2,14 +2,15 @@
 
 A document's score is a weighted sum of features of its whole text. The weights are learned from
 preference pairs (a document labelled good is preferred to one labelled bad) by the logistic loss on
-the difference of their features. The cut is the quantile of the training scores that leaves the
-labelled share of bad documents below it; scores are shifted so that the cut lies at `cut_at`.
+the difference of their features. The cut is the quantile, over the scores of all labelled documents, that
+leaves the labelled share of bad ones below it; scores are shifted so that the cut lies at `cut_at`.
 
 The features are computed in one narrow pass over all texts and written; only the bounded training
-sample (`max_labelled` rows of a few dozen numbers) comes to the driver.
+sample (`max_labelled` rows of a few dozen numbers) comes to the driver. The weights alone depend on it.
 
 Edge cases: null and empty texts have all-zero counts and are scored as such; labels that are null or
-without a document are left out; repeated labels count each; with labels of one kind only, or none,
+without a document are left out; a label that is repeated for a document, and documents of one id, count once
+(the smallest features); very long texts are one row of numbers like others; with labels of one kind only, or none,
 all scores are equal and nothing is rejected; an empty table gives no rows.
 """
 
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import landed
+from alertloom.operators.quantiles import column_quantiles
+from llm.common import hash_sample, landed
 from llm.words import Words, mix, word_slices
 
 #: Labelled rows that a fit uses at most, drawn by a hash of their id; and pairs drawn from them.
@@ -109,9 +111,12 @@ class Ranker:
     weights: tuple[float, ...]
     shift: float
 
-    def score(self, column: str = "features") -> Column:
+    def margin(self, column: str = "features") -> Column:
         terms = F.zip_with(F.col(column), F.array(*[F.lit(w) for w in self.weights]), lambda x, w: x * w)
-        return 1 / (1 + F.exp(-(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + F.lit(self.shift))))
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + F.lit(self.shift)
+
+    def score(self, column: str = "features") -> Column:
+        return 1 / (1 + F.exp(-self.margin(column)))
 
 
 def bradley_terry(better: np.ndarray, worse: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -136,8 +141,10 @@ def fit(
     """Learn from labels 1 and 0; rows to leave out must be left out of `labels`."""
     shift = float(np.log(cut_at / (1 - cut_at)))
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    drawn = given.join(featured, "id").orderBy(F.xxhash64("id"), "id", "label", "features").limit(max_labelled)
-    rows = drawn.select("label", "features").collect()
+    known = given.distinct().join(featured, "id").groupBy("id", "label").agg(F.min("features").alias("features"))
+    known = landed(known, "labelled")
+    total, bad_rows = known.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    rows = hash_sample(known, max_labelled, total, "id", "label").select("label", "features").collect()
     label = np.array([r.label for r in rows])
     if not (0 < label.sum() < len(label)):
         return Ranker((0.0,) * len(FEATURES), shift + 1.0)
@@ -147,8 +154,10 @@ def fit(
     rnd = np.random.default_rng(seed)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     w = bradley_terry(x[rnd.choice(good, pairs)], x[rnd.choice(bad, pairs)])
-    cut = np.quantile(x @ w, (label == 0).mean())
-    return Ranker(tuple((w / spread).tolist()), float(shift - cut - (middle / spread) @ w))
+    weights, share = tuple((w / spread).tolist()), bad_rows / total
+    raw = known.select(Ranker(weights, 0.0).margin().alias("raw"))
+    cut = column_quantiles(raw, {"raw": (share,)})["raw"].quantiles[share]
+    return Ranker(weights, float(shift - cut))
 
 
 def scored(

@@ -1,7 +1,7 @@
 import numpy as np
 
 from llm.queries import op9_quality
-from llm.ranker import FEATURES, bradley_terry, scored, text_features
+from llm.ranker import FEATURES, bradley_terry, fit, scored, text_features
 
 
 def test_weights_recover_an_order():
@@ -32,6 +32,25 @@ def test_labels_of_one_kind_or_none(spark, documents):
     assert scored(documents([]), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).collect() == []
 
 
+def test_cut_is_the_quantile_over_all_labels_and_repeats_count_once(spark, documents):
+    texts = [(i, "good words in a row " * (1 + i % 7) if i % 3 else f"x{i} !! || ## " * (1 + i % 5)) for i in range(600)]
+    docs = documents(texts + [(1, "another text of the same id"), (None, "no id")])
+    labels = [(i, int(i % 3 > 0)) for i in range(600)] + [(3, 0)] * 400 + [(None, 1), (5000, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    featured = text_features(docs)
+    ranker = fit(featured, table, max_labelled=100)  # the sample is small, the cut is not
+    assert len(set(ranker.weights)) > 1
+    scores = {}
+    for r in featured.select("id", "features", ranker.score().alias("score")).collect():
+        if r.id is not None and (r.id not in scores or r.features < scores[r.id][0]):
+            scores[r.id] = (r.features, r.score)
+    raw = [float(np.log(s / (1 - s))) for _, s in scores.values()]
+    assert abs(np.quantile(raw, 1 / 3) - np.log(0.3 / 0.7)) < 1e-6
+    plain = featured.where("id = 7").first().features
+    want = 1 / (1 + np.exp(-(np.dot(plain, ranker.weights) + ranker.shift)))
+    assert abs(scores[7][1] - want) < 1e-12
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in op9_quality(spark, sf).collect()}
