@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import landed
+from alertloom.operators.ranking import with_row_id
+from llm.common import free_name, landed
 
 #: Keys drawn for the splitters, and ranges for each shard. Bounds what the driver holds.
 SAMPLE = 8192
@@ -120,12 +121,18 @@ def shard_records(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole records into one folder for each shard, in slot order."""
-    placed = assigned.select(F.col("id").alias(id_col), "shard", "slot")
-    (
-        docs.join(placed, id_col)
-        .repartition("shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    """Write whole records into one folder for each shard (shard=0, ...), in slot order.
+
+    `assigned` comes from the very rows of `docs`, so both have the same ids equally often. Both are numbered
+    in the order of their ids, by range sorts that split an id of many rows, and meet by number: rows with a null or
+    repeated id are written once each. Columns of `docs` called shard or slot keep their values under a free name
+    (underscores in front).
+    """
+    for taken in ("shard", "slot"):
+        for c in [c for c in docs.columns if c.lower() == taken]:
+            docs = docs.withColumnRenamed(c, free_name(docs, taken))
+    number = free_name(docs, "number")
+    placed = with_row_id(assigned.select("id", "shard", "slot"), ["id", "shard", "slot"], number).drop("id")
+    rows = with_row_id(docs, [F.col(id_col), F.monotonically_increasing_id()], number)
+    joined = rows.join(placed, number).drop(number)
+    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

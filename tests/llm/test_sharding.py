@@ -56,6 +56,21 @@ def test_written_shards_hold_whole_records(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in back} == set(rows)
 
 
+def test_written_shards_with_odd_ids_and_clashing_columns(spark, documents, tmp_path):
+    rows = [(None, "a"), (None, "b"), (1, "c"), (1, "c"), (2, None), (1, "long " * 9000)] + [(3, f"t{i}") for i in range(40)]
+    docs = documents(rows).withColumn("slot", F.lit("own"))
+    write_shards(docs, shard_records(records(spark, rows), 3), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    got = back.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert {r["_shard"] for r in got} == {5} and {r["_slot"] for r in got} == {"own"}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    write_shards(docs.limit(0), shard_records(records(spark, rows).limit(0), 3), str(tmp_path / "none"))
+
+
 def test_query_columns(spark, sf_dir):
     from llm.queries import op1_sharding
 
