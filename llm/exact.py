@@ -95,14 +95,20 @@ def digest_state(rows: DataFrame, files_per_trigger: int | None = None) -> DataF
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int | None = None
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int | None = None,
+    batches: int | None = None,
+) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
+    The digests are streamed `files_per_trigger` files at a time, or in about `batches` micro-batches
+    of equally many files, or all in one; later batches meet the digests that the state keeps.
+
     Rows whose bytes differ from the kept row's in spite of an equal digest are grouped again by
     their full text.
     """
     rows = landed(digest_rows(docs, id_col, text_col), "digests")
+    if batches and not files_per_trigger:
+        files_per_trigger = max(1, -(-len(rows.inputFiles()) // batches))
     state = landed(digest_state(rows, files_per_trigger), "digest-groups")
     marked = rows.join(state, "digest", "left")
 

@@ -35,6 +35,11 @@ def test_matches_brute_force(documents):
     assert got(exact_groups(documents(ROWS))) == brute(ROWS)
 
 
+def test_batches_of_files_give_the_same_groups(documents):
+    assert got(exact_groups(documents(ROWS).repartition(6), batches=3)) == brute(ROWS)
+    assert got(exact_groups(documents([]), batches=3)) == []
+
+
 def test_empty_table(documents):
     assert got(exact_groups(documents([]))) == []
 
