@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,18 @@ from alertloom.spec import FeatureSpec
 Fences = Mapping[str, tuple[float, float] | None]
 
 
+@dataclass(frozen=True)
+class CleaningFit:
+    """What cleaning finds out from a whole table: outlier fences, columns that look numeric, empty columns.
+
+    Kept with a model, it makes the cleaning of a row depend on that row alone.
+    """
+
+    fences: Fences
+    numeric: tuple[str, ...]
+    empty: tuple[str, ...]
+
+
 def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
@@ -31,14 +44,19 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(F.when(filled.isNotNull(), F.monotonically_increasing_id()).isNotNull())
 
 
-def drop_empty_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> DataFrame:
-    """Drop columns that are null in every row; one aggregation for all of them."""
+def empty_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> list[str]:
+    """Columns that are null in every row; one aggregation for all of them."""
     columns = df.columns if candidates is None else present(df, candidates)
     if not columns:
-        return df
+        return []
     # max of a flag instead of a count: one byte of state per column.
     seen = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in columns]).first()
-    return df.drop(*[c for c in columns if not seen[c]])
+    return [c for c in columns if not seen[c]]
+
+
+def drop_empty_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> DataFrame:
+    """Drop columns that are null in every row."""
+    return df.drop(*empty_columns(df, candidates))
 
 
 def clean_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -150,11 +168,18 @@ def sniff_numeric(
 
     Columns of `order` are keys and stay as they are, whatever they look like.
     """
+    return coerce_numeric(df, numeric_columns(df, order, exclude, sample, ratio))
+
+
+def numeric_columns(
+    df: DataFrame, order: Sequence[str], exclude: Sequence[str] = (),
+    sample: int | None = None, ratio: float = 0.8,
+) -> list[str]:
+    """The columns that `sniff_numeric` coerces."""
     others = [c for c in df.columns if c not in exclude and c not in order]
     types = {f.name: f.dataType for f in df.schema}
     found = numeric_looking(df, order, others, sample, ratio)
-    found += [c for c in others if isinstance(types[c], T.NumericType)]
-    return df.withColumns({c: number.coerce(F.col(c), types[c]) for c in found})
+    return found + [c for c in others if isinstance(types[c], T.NumericType)]
 
 
 def fill_missing_by_role(df: DataFrame, spec: FeatureSpec) -> DataFrame:

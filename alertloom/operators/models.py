@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from alertloom.operators import labels as label_ops
 from alertloom.operators import metrics as metric_ops
 from alertloom.operators.boosting import BoostedModel, Booster, fit_boosted, run_boosted
-from alertloom.operators.clean import present
+from alertloom.operators.clean import CleaningFit, present
 from alertloom.operators.splits import kfold
 from alertloom.operators.vectors import FittedFeatures, assemble, fit_features, fit_fold_features, sparse_entries
 from alertloom.session import broadcast_if_small, is_small, ship_sources, stored
@@ -118,6 +118,9 @@ class AlertModel:
     selector: VectorSlicer | None = None
     feature_count: int = 0
     sample_count: int = 0
+    #: How training cleaned its table, and sketches of its numbers; scoring cleans rows the same way.
+    cleaning: CleaningFit | None = None
+    sketches: DataFrame | None = None
 
     @property
     def is_trained(self) -> bool:

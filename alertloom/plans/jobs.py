@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +13,15 @@ from alertloom.operators import labels as label_ops
 from alertloom.operators import metrics as metric_ops
 from alertloom.operators import models as model_ops
 from alertloom.operators import schema
-from alertloom.operators.clean import present
+from alertloom.operators.clean import drop_empty_rows, present
 from alertloom.operators.quality import prediction_distribution
 from alertloom.operators.ranking import with_row_id
+from alertloom.operators.sketches import column_sketches, fences_of, merge_sketches
 from alertloom.operators.splits import split_train_val_test
-from alertloom.plans.preprocess import preprocess
+from alertloom.plans.preprocess import coerced_by_role, fit_cleaning, preprocess
 from alertloom.session import cut_lineage, stored
 from alertloom.sources import runlog
+from alertloom.sources.files import write_metrics_json
 from alertloom.sources.modelstore import write_model
 from alertloom.sources.texts import texts_to_alerts
 from alertloom.spec import FeatureSpec
@@ -36,20 +38,31 @@ class TrainResult:
 def train_job(
     raw: DataFrame, spec: FeatureSpec, seed: int = 42,
     model_path: str | None = None, log_path: str | None = None, user: str = "system",
+    metrics_path: str | None = None,
 ) -> TrainResult:
-    """Clean, fit classes, split, fit the targets, evaluate; optionally store and log."""
+    """Clean, fit classes, split, fit the targets, evaluate; optionally store, log and write the metrics.
+
+    `metrics_path` gets one JSON folder each for validation and test. What the cleaning found out, and
+    sketches of the numbers, stay with the model.
+    """
     spark = raw.sparkSession
     started = datetime.now(timezone.utc)
-    data = stored(preprocess(raw, spec, is_training=True))
+    schema.guard_rows(raw, is_training=True)
+    coerced = coerced_by_role(drop_empty_rows(raw), spec)
+    cleaning, sketches = fit_cleaning(coerced, spec), cut_lineage(column_sketches(coerced, spec.numeric))
+    data = stored(preprocess(raw, spec, is_training=True, fitted=cleaning))
     targets = present(data, spec.targets)
     labels = label_ops.fit_labels(data, targets)
     split = split_train_val_test(data, spec.order, targets[0] if targets else None, seed=seed)
     parts = {p: split.where(F.col("split") == p).drop("split") for p in ("train", "validation", "test")}
     model = model_ops.fit_targets(parts["train"], spec, labels)
+    model.cleaning, model.sketches = cleaning, sketches
     scores = {}
     for part in ("validation", "test"):
         pairs = model_ops.truth_pairs(parts[part], model, spec.order, list(model.targets))
         scores[part] = cut_lineage(metric_ops.evaluate(pairs, spec))
+        if metrics_path:
+            write_metrics_json(scores[part], f"{metrics_path.rstrip('/')}/{part}")
     sizes = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
     if model_path:
         write_model(model, model_path, spark)
@@ -82,6 +95,12 @@ def _log_training(
         data_size=sizes, metrics=metrics, started_at=started, ended_at=ended,
         duration=(ended - started).total_seconds(), **common,
     )
+    runlog.log_record(
+        spark, "validation_runs", f"{log_path.rstrip('/')}/validation_runs",
+        validation_id=f"validation_{stamp}", training_id=f"train_{stamp}", model_id=f"model_{stamp}",
+        status="completed", data_size={"validation": sizes.get("validation", 0)}, metrics=metrics,
+        started_at=started, ended_at=ended, **common,
+    )
 
 
 def score_batch(
@@ -89,16 +108,28 @@ def score_batch(
 ) -> DataFrame:
     """(row_id, keep..., target, level, pred_idx, predicted_class, probabilities).
 
-    One result per input row and fitted target, with the row's place in input order.
+    One result per input row and fitted target, with the row's place in input order. Rows are cleaned by
+    the model's fit, so that a row's result does not depend on its batch.
     """
     spec = model.spec
-    data = preprocess(raw, spec, is_training=False)
+    data = preprocess(raw, spec, is_training=False, fitted=model.cleaning)
     # Only targets this model predicts are taken away; others are features of it.
     features = data.drop(*[t for t in model.targets if t in data.columns])
     numbered = with_row_id(features, spec.order)
     return model_ops.predict(numbered, model, ["row_id"], keep)
 
 
+def refresh_cleaning(model: model_ops.AlertModel, raw: DataFrame) -> model_ops.AlertModel:
+    """The model with the numbers of one more batch in its sketches and fences; no old row is read."""
+    if model.cleaning is None or model.sketches is None:
+        raise ValueError("the model keeps no cleaning of its training")
+    spec = model.spec
+    batch = column_sketches(coerced_by_role(drop_empty_rows(raw), spec), spec.numeric)
+    sketches = cut_lineage(merge_sketches([model.sketches, batch]))
+    fences = {**model.cleaning.fences, **fences_of(sketches)}
+    return replace(model, cleaning=replace(model.cleaning, fences=fences), sketches=sketches)
+
+
 def score_texts(
     texts: DataFrame, text: str, key: Sequence[str], model: model_ops.AlertModel
 ) -> DataFrame:
@@ -113,7 +144,7 @@ def validate_job(raw: DataFrame, model: model_ops.AlertModel) -> tuple[DataFrame
     """
     spec = model.spec
     available = present(raw, spec.targets)
-    data = stored(preprocess(raw, spec, is_training=False))
+    data = stored(preprocess(raw, spec, is_training=False, fitted=model.cleaning))
     info = data.agg(F.count("*").alias("total_samples")).select(
         "total_samples",
         F.array(*[F.lit(t) for t in available]).cast("array<string>").alias("available_targets"),
