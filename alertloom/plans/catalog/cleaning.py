@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.operators import clean, schema
+from alertloom.operators import clean, schema, sketches
 from alertloom.plans import preprocess as plans
 from alertloom.plans.alerts import alerts, landed_alerts, table
 from alertloom.plans.catalog import sql
 from alertloom.plans.catalog.registry import query, rounded
+from alertloom.session import cut_lineage
 from alertloom.spec import ALERTS, EXPECTED_COLUMNS, flat
 
 LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -175,6 +179,41 @@ def clip_outliers_of_alerts(spark, sf_dir):
     return rounded(clipped.withColumns({c: F.col(c).cast("double") for c in ALERTS.numeric}))
 
 
+# Fences fitted once on the whole table hold for batches that are cleaned one by one.
+@query("P11 P19 M9", sql.with_ctes(
+    sql.CLIPPED,
+    "SELECT hit__hit_id, " + ", ".join(f"{sql.fixed(c)} AS {c}" for c in sql.NUMBERS) + " FROM clipped",
+))
+def clip_in_batches(spark, sf_dir):
+    raw = landed_alerts(spark, sf_dir)
+    fitted = plans.fit_cleaning_of(raw, ALERTS)
+    batch = F.pmod(F.xxhash64("hit__hit_id"), F.lit(3))
+    parts = [plans.preprocess(raw.where(batch == k), ALERTS, is_training=False, fitted=fitted) for k in range(3)]
+    both = reduce(DataFrame.unionByName, [p.select("hit__hit_id", *ALERTS.numeric) for p in parts])
+    return rounded(both.withColumns({c: F.col(c).cast("double") for c in ALERTS.numeric}))
+
+
+# Quantiles of sketches depend on chance; their ranks must be within a hundredth.
+@query("P11 F9", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS n, {sql.fixed(f'min({c})')} AS low, {sql.fixed(f'max({c})')} AS high, true AS close FROM lineitem"
+    for c in LINE_NUMBERS
+))
+def merged_sketches(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, *LINE_NUMBERS)
+    batches = [sketches.column_sketches(lines.where(F.col("l_linenumber") % 2 == k), LINE_NUMBERS) for k in (0, 1)]
+    merged = cut_lineage(sketches.merge_sketches(batches))
+    found = sketches.sketch_quantiles(merged, {c: (0.25, 0.75, 0.95) for c in LINE_NUMBERS})
+
+    def close(c):
+        places = [(p, F.avg((F.col(c) < q).cast("int")), F.avg((F.col(c) <= q).cast("int"))) for p, q in found[c].items()]
+        return reduce(Column.__and__, [(below <= p + 0.01) & (upto >= p - 0.01) for p, below, upto in places])
+
+    good = lines.agg(*[close(c).alias(c) for c in LINE_NUMBERS])
+    good = good.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("close")) for c in LINE_NUMBERS])))
+    # One row per column.
+    return rounded(merged.join(F.broadcast(good), "column").select(F.col("column").alias("name"), "n", "low", "high", "close"))
+
+
 @query("P12", sql.with_ctes(
     [sql.ALERTS],
     "SELECT hit__hit_id, CAST(mt103__reference AS DOUBLE) AS mt103__reference, mt103__city, "
