@@ -1,11 +1,4 @@
-"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
-
-Documents are dealt into chunks. A chunk gives its distinct n-grams, already counted, as one row for each
-bucket of the n-gram hash: packed keys in hash order. Each bucket adds up its count table and joins it
-back to the rows it got: every chunk receives the corpus counts of its n-grams in the order it sent
-them. There the counts meet the documents again and are summed for each of them. So the shuffle
-carries a few bytes for each n-gram that differs within a chunk, and a frequent n-gram comes once from
-each chunk.
+"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus, as Spark joins.
 
     S(w | v) = c(v w) / c(v)        if c(v w) >= min_count
              = backoff * S(w)       otherwise,     S(w) = c(w) / words of the corpus
@@ -13,123 +6,104 @@ each chunk.
 and likewise for longer contexts. N-grams do not cross documents; a document's first words have
 shorter contexts and no penalty for that.
 
-Edge cases: null and empty texts have no words and score 0; repeated rows count each; an empty table
-gives no rows. Keys keep 48 bits and the bucket, so two n-grams share a count with a chance of
-about one in 10**7 at 10**10 n-grams.
+Count tables: n-grams of every length up to the order are exploded, counted within a slice of texts, and added up
+by n-gram. The score of a distinct n-gram then comes from a join of its table with that of the next shorter ones: by the
+context if the n-gram counts, else by the n-gram without its first word. So a chain of back-offs is walked once for each
+distinct n-gram, not for each place. Documents are exploded again, each place as the longest n-gram that ends
+there, equal ones of a document together; a join by n-gram gives their scores, summed per document. Tables are
+partitioned by the n-gram's hash; a frequent n-gram is one row of its table, and its many rows on the side of the
+documents are split by adaptive execution.
+
+Edge cases: null and empty texts have no words and score 0; repeated rows count each, are scored together and
+listed each; very long texts are exploded whole; an empty table gives no rows; other columns are not looked at.
+N-grams are told apart by 64-bit hashes, and so are rows (id and text): at 10**9 distinct n-grams, the chance that
+any two of them meet is about 3 %.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import landed
-from llm.words import Words, words_of
+from llm.common import landed, ship
+from llm.words import Words, word_slices
 
 BACKOFF = 0.4
 MIN_COUNT = 2
 ORDER = 2
-#: Bytes of text in a chunk, and n-grams in a bucket: what one task holds at a time.
-CHUNK_BYTES = 3 << 20
-BUCKET_GRAMS = 1_000_000
-
-_LOW = np.uint64((1 << 48) - 1)
-
 
-def _chunk(table: pa.Table) -> tuple[pa.Array, Words]:
-    """Ids and words of a chunk, in the order of ids and texts."""
-    table = table.sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
-    texts = [(t.as_py() or "").encode() for t in table.column("text")]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return table.column("id"), words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
 
-
-def _grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the last word of each n-gram inside a document, and the n-grams' hashes."""
-    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    hashes = words.grams(n) if n > 1 else words.hashes
-    start = np.flatnonzero(text[: len(hashes)] == text[n - 1 :]) if len(hashes) else np.zeros(0, np.int64)
-    return start + n - 1, hashes[start]
-
-
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys."""
-    bucket = ((keys >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-    return np.searchsorted(bucket, np.arange(buckets + 1))
-
-
-def _sent(table: pa.Table, buckets: tuple[int, ...]) -> pa.Table:
-    """The chunk's distinct n-grams, one row for each bucket that gets any."""
-    _, words = _chunk(table)
-    chunk, rows = table.column("chunk")[0].as_py(), []
-    for n in range(1, len(buckets) + 1):
-        keys, counts = np.unique(_grams(words, n)[1], return_counts=True)
-        edges = _bucket_edges(keys, buckets[n - 1])
-        packed = (keys & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            lo, hi = edges[b], edges[b + 1]
-            rows.append((n * (1 << 32) + b, chunk, packed[lo:hi].tobytes(), zlib.compress(counts[lo:hi].astype("<u4").tobytes(), 1)))
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "keys", "counts"])
-
-
-def _unpack(keys: bytes) -> np.ndarray:
-    wide = np.zeros((len(keys) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
-
-
-def _numbers(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
-
-
-def _counted(table: pa.Table) -> pa.Table:
-    """Add up a bucket's counts and send them back to every chunk, in the order of its keys."""
-    sent = [_unpack(k) for k in table.column("keys").to_pylist()]
-    own = np.concatenate([_numbers(c) for c in table.column("counts").to_pylist()])
-    _, place = np.unique(np.concatenate(sent), return_inverse=True)
-    total = np.bincount(place, weights=own).astype("<u4")[place]
-    ends = np.cumsum([len(s) for s in sent])
-    back = [zlib.compress(total[e - len(s) : e].tobytes(), 1) for s, e in zip(sent, ends.tolist())]
-    return pa.table([table.column("chunk"), table.column("bucket"), pa.array(back, pa.binary())], ["chunk", "bucket", "counts"])
-
-
-def _summed(texts: pa.Table, replies: pa.Table, order: int, min_count: int, backoff: float) -> pa.Table:
-    """Per document: words, sum of log scores without the corpus size, and how often that divides."""
-    ids, words = _chunk(texts)
-    replies = replies.sort_by("bucket") if replies.num_rows else replies
-    of_bucket = replies.column("bucket").to_numpy() >> 32
-    packed = replies.column("counts").to_pylist()
-    m = len(words.hashes)
+def _ending(words: Words, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The longest n-gram that fits before each word's end, and for each n the hashes of the n-grams by their last word."""
+    size = len(words.hashes)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    counts = np.zeros((order + 1, m))  # of the n-gram that ends at each word; 0 where there is none
+    room = np.minimum(np.arange(size) - words.first[text] + 1, order)
+    ending = [words.hashes]
+    for n in range(2, order + 1):
+        grams = np.zeros(size, np.uint64)
+        found = words.grams(n)
+        grams[size - len(found) :] = found
+        # Equal values of different lengths stay apart, as far as a hash can tell.
+        ending.append(grams ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return room, ending
+
+
+def _counted(batches, order: int) -> Iterator[pa.RecordBatch]:
+    """(n, gram, context, rest, c): n-grams of each slice of texts; `rest` lacks the first word."""
+    for batch in batches:
+        for _, _, words in word_slices(batch.column(0)):
+            room, ending = _ending(words, order)
+            for n in range(1, order + 1):
+                last = np.flatnonzero(room >= n)
+                grams, first, counts = np.unique(ending[n - 1][last], return_index=True, return_counts=True)
+                last = last[first]
+                shorter = ending[n - 2] if n > 1 else np.zeros(len(room), np.uint64)
+                columns = [np.full(len(grams), n, np.int32), *(x.view(np.int64) for x in (grams, shorter[last - 1], shorter[last])), counts]
+                yield pa.record_batch([pa.array(x) for x in columns], ["n", "gram", "context", "rest", "c"])
+
+
+def _placed(batches, order: int) -> Iterator[pa.RecordBatch]:
+    """(doc, gram, m): how often each longest n-gram ends in a document."""
+    for batch in batches:
+        docs = batch.column(0).to_numpy()
+        for lo, hi, words in word_slices(batch.column(1)):
+            room, ending = _ending(words, order)
+            grams = np.choose(room - 1, ending) if len(room) else words.hashes
+            text = np.repeat(np.arange(hi - lo), np.diff(words.first))
+            by = np.lexsort((grams, text))
+            grams, text = grams[by], text[by]
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(by)), bool), (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]))
+            m = np.diff(np.append(starts, len(by)))
+            columns = [docs[lo:hi][text[starts]], grams[starts].view(np.int64), m.astype(np.int32)]
+            yield pa.record_batch([pa.array(x) for x in columns], ["doc", "gram", "m"])
+
+
+def gram_scores(texts: DataFrame, order: int, min_count: int, backoff: float) -> list[DataFrame]:
+    """For each n up to the order, (gram, c, score): the n-grams of the corpus, their counts and log scores."""
+    exploded = texts.mapInArrow(partial(_counted, order=order), "n int, gram long, context long, rest long, c long")
+    # Context and rest follow from the n-gram.
+    grams = exploded.groupBy("n", "gram").agg(F.sum("c").alias("c"), F.min("context").alias("context"), F.min("rest").alias("rest"))
+    grams = landed(grams, "lm-grams", ["n"])
+    corpus = grams.where("n = 1").agg(F.sum("c")).first()[0] or 1
+    tables: list[DataFrame] = []
     for n in range(1, order + 1):
-        place, hashes = _grams(words, n)
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        given = [_numbers(packed[i]) for i in np.flatnonzero(of_bucket == n)]
-        given = np.concatenate(given) if given else np.zeros(0)
-        assert len(given) == len(keys)
-        counts[n, place] = given[inverse]
-    score, divided, level = np.zeros(m), np.zeros(m), np.zeros(m, int)
-    room = np.minimum(np.arange(m) - words.first[text] + 1, order)  # longest n-gram at the word
-    for n in range(order, 0, -1):
-        here = (level == 0) & (room >= n) & ((counts[n] >= min_count) | (n == 1))
-        level[here] = n
-        score[here] = np.log(counts[n, here]) + (room[here] - n) * np.log(backoff)
+        own = grams.where(F.col("n") == n).drop("n")
         if n == 1:
-            divided[here] = 1
+            scored = own.select("gram", "c", (F.log("c") - float(np.log(corpus))).alias("score"))
         else:
-            score[here] -= np.log(counts[n - 1, np.flatnonzero(here) - 1])
-    n_texts = len(words.first) - 1
-    return pa.table(
-        [ids, pa.array(np.diff(words.first)), pa.array(np.bincount(text, score, n_texts)), pa.array(np.bincount(text, divided, n_texts))],
-        ["id", "n_words", "raw", "divided"],
-    )
+            counts = F.col("c") >= min_count
+            lower = tables[-1].select(F.col("gram").alias("key"), F.col("c").alias("key_c"), F.col("score").alias("key_score"))
+            joined = own.withColumn("key", F.when(counts, F.col("context")).otherwise(F.col("rest"))).join(lower, "key")
+            scored = joined.select(
+                "gram", "c", F.when(counts, F.log("c") - F.log("key_c")).otherwise(F.col("key_score") + float(np.log(backoff))).alias("score")
+            )
+        tables.append(landed(scored, f"lm-scores-{n}"))
+    return tables
 
 
 def stupid_backoff(
@@ -137,25 +111,17 @@ def stupid_backoff(
     min_count: int = MIN_COUNT, backoff: float = BACKOFF,
 ) -> DataFrame:
     """One row per input row: id, n_words, log_score (natural logarithm, summed over the words)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    most = max(1, -(-size // (6 * BUCKET_GRAMS)))
-    buckets = (max(1, most // 4), *[most] * (order - 1))
-    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // CHUNK_BYTES))))
-    chunks = rows.withColumn("chunk", chunk).repartition("chunk")
-
-    def sent_by(table: pa.Table) -> pa.Table:
-        return _sent(table, buckets)
-
-    sent = chunks.groupBy("chunk").applyInArrow(sent_by, "bucket long, chunk long, keys binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(_counted, "chunk long, bucket long, counts binary")
-
-    def summed(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        return _summed(texts, replies, order, min_count, backoff)
-
-    sums = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        summed, "id long, n_words long, raw double, divided double"
+    rows = rows.withColumn("doc", F.xxhash64("id", "text"))
+    tables = [t.select("gram", "score") for t in gram_scores(rows.select("text"), order, min_count, backoff)]
+    placed = rows.select("doc", "text").mapInArrow(partial(_placed, order=order), "doc long, gram long, m int")
+    scored = placed.join(reduce(DataFrame.union, tables), "gram")
+    sums = scored.groupBy("doc").agg(F.sum(F.col("m") * F.col("score")).alias("total"), F.sum("m").alias("words"))
+    listed = landed(rows.select("id", "doc"), "lm-rows")
+    # Equal rows were added up together.
+    copies = listed.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
+    each = landed(sums.join(copies, "doc").select("doc", (F.col("words") / F.col("copies")).cast("long").alias("words"), (F.col("total") / F.col("copies")).alias("total")), "lm-sums")
+    return listed.join(each, "doc", "left").select(
+        "id", F.coalesce("words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("total", F.lit(0.0)).alias("log_score")
     )
-    sums = landed(sums, "lm-sums")
-    corpus = sums.agg(F.sum("n_words")).first()[0] or 1
-    return sums.select("id", "n_words", (F.col("raw") - F.col("divided") * float(np.log(max(corpus, 1)))).alias("log_score"))

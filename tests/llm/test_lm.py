@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from llm import lm, queries
+from llm import queries, words
 from llm.lm import stupid_backoff
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,9 +38,8 @@ def texts():
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_matches_brute_force(documents, monkeypatch, order):
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 5000)
-    monkeypatch.setattr(lm, "BUCKET_GRAMS", 500)
-    rows = list(enumerate(texts())) + [(0, "again w1"), (None, "no id")]
+    monkeypatch.setattr(words, "SLICE_BYTES", 5000)
+    rows = list(enumerate(texts())) + [(0, "again w1"), (None, "no id"), (3, texts()[3]), (None, "no id"), (None, None), (None, None)]
     got = sorted(map(tuple, stupid_backoff(documents(rows), order=order).collect()), key=repr)
     want = brute(rows, order)
     assert [r[:2] for r in got] == [r[:2] for r in want]
