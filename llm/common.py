@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pathlib import Path
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,22 @@ def hash_sample(rows: DataFrame, n: int, total: int, *columns: str) -> DataFrame
     return rows.orderBy(value, *columns).limit(n)
 
 
+def range_of(spark: SparkSession, key: Column, bounds: list) -> Column:
+    """Number of sorted `bounds` at or before the key (strings of ASCII or integers, not null), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    ship(spark)
+    sent = spark.sparkContext.broadcast(np.array([b.encode() for b in bounds] if isinstance(bounds[0], str) else bounds))
+
+    @F.pandas_udf("int")
+    def search(keys: pd.Series) -> pd.Series:
+        values = keys.to_numpy()
+        values = np.array([v.encode() for v in values]) if sent.value.dtype.kind == "S" else values
+        return pd.Series(np.searchsorted(sent.value, values, "right").astype(np.int32))
+
+    return search(key)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, with underscores in front until no column of `df` has the name."""
     names = {c.lower() for c in df.columns}

@@ -1,7 +1,7 @@
 """Range sharding by sampled splitters, near equal in bytes.
 
 A size-weighted sample of keys gives quantile boundaries; ranges that turn out overfull are sampled
-again and subdivided. Ranges only deal out the work: shard borders come from exact running sizes
+again and subdivided. Ranges grow in number with the rows and only deal out the work: shard borders come from exact running sizes
 inside each range plus the ranges' exact starts.
 
 Edge cases: a null text weighs the row overhead and has checksum 0; rows with equal keys stay in key
@@ -11,58 +11,62 @@ than a shard fills one by itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.operators.ranking import with_row_id
-from llm.common import free_name, landed
+from llm.common import free_name, landed, range_of
 
-#: Keys drawn for the splitters, and ranges for each shard. Bounds what the driver holds.
-SAMPLE = 8192
+#: Ranges for each shard at least, and rows of a range about; keys drawn for each range, and in all at least. The driver holds
+#: the keys: some 30 for a million rows.
 RANGES_PER_SHARD = 8
+RANGE_ROWS = 1 << 20
+KEYS_PER_RANGE = 24
+SAMPLE = 8192
 #: A range is overfull beyond this many times the mean.
 OVERFULL = 2.0
 ROUNDS = 4
 
 
-def _range_of(key: Column, bounds: list[str]) -> Column:
-    """Number of boundaries at or before the key."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
-
-
-def _weighted_keys(rows: DataFrame, n: int, seed: int) -> list[str]:
-    """At most `n` keys, drawn without replacement in proportion to size."""
+def _weighted_keys(rows: DataFrame, n: int, total: int, seed: int) -> list[str]:
+    """At most `n` keys of rows of `total` bytes, drawn without replacement in proportion to size."""
     u = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("e")).orderBy("e", "key").limit(n)
-    return sorted(r.key for r in drawn.collect())
+    drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("e"))
+    # All tasks together offer the driver little more than n rows: at most total * cut are expected below a cut.
+    drawn = drawn.where(F.col("e") <= 1.25 * n / max(1, total))
+    return sorted(r.key for r in drawn.orderBy("e", "key").limit(n).collect())
 
 
 def _quantiles(keys: list[str], parts: int) -> list[str]:
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-def _snap(bounds: list[str]) -> list[str]:
-    """Cut before a whole group, unless several boundaries fall into the same group."""
+def _snap(bounds: list[str], least: int) -> list[str]:
+    """Cut before a whole group, unless at least `least` boundaries show that the group is large."""
     groups = [b.split("/")[0] for b in bounds]
-    return sorted({b if groups.count(g) > 1 else g for b, g in zip(bounds, groups, strict=True)})
+    several = Counter(groups)
+    return sorted({b if several[g] >= least else g for b, g in zip(bounds, groups, strict=True)})
 
 
-def _splitters(rows: DataFrame, ranges: int) -> tuple[list[str], dict[int, int]]:
-    """Boundaries and the exact bytes of each range."""
-    bounds = _snap(_quantiles(_weighted_keys(rows, SAMPLE, 1), ranges))
+def _splitters(rows: DataFrame, ranges: int, total: int, limit: int) -> tuple[list[str], dict[int, int]]:
+    """Boundaries and the exact bytes of each range. Groups of up to `limit` bytes lie in one range (but for bad luck
+    of the sample, by a factor of two)."""
+    spark, sample, mean = rows.sparkSession, max(SAMPLE, KEYS_PER_RANGE * ranges), total / max(1, ranges)
+    least = max(2, -(-2 * limit // max(1, int(mean))) + 1)
+    bounds = _snap(_quantiles(_weighted_keys(rows, sample, total, 1), ranges), least)
     for round_no in range(ROUNDS):
-        counted = rows.groupBy(_range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("bytes"))
-        held = {r.range: r.bytes for r in counted.collect()}
-        mean = sum(held.values()) / max(1, ranges)
+        ranged = rows.withColumn("range", range_of(spark, F.col("key"), bounds))
+        held = {r.range: r.bytes for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect()}
         full = [r for r, b in held.items() if b > OVERFULL * mean]
         if not full or round_no == ROUNDS - 1:
             break
-        inside = rows.where(_range_of(F.col("key"), bounds).isin(full))
-        keys = _weighted_keys(inside, SAMPLE, 2 + round_no)
-        parts = max(2, round(sum(held[r] for r in full) / mean))
-        more = sorted({*bounds, *_quantiles(keys, parts)})
+        over = sum(held[r] for r in full)
+        # One row for each overfull range.
+        inside = ranged.join(F.broadcast(spark.createDataFrame([(r,) for r in full], "range int")), "range", "left_semi")
+        keys = _weighted_keys(inside, sample, over, 2 + round_no)
+        more = sorted({*bounds, *_snap(_quantiles(keys, max(2, round(over / mean))), least)})
         if more == bounds:
             break
         bounds = more
@@ -79,23 +83,23 @@ def shard_records(rows: DataFrame, shards: int) -> DataFrame:
         F.lpad(F.hex("group_key"), 16, "0"), F.lit("/"), F.lpad(F.hex(F.coalesce(F.col("id"), F.lit(-1))), 16, "0")
     )
     rows = landed(rows.withColumn("key", key), "shard-keys")
-    bounds, held = _splitters(rows, shards * RANGES_PER_SHARD)
-    total, largest = rows.agg(F.sum("size"), F.max("size")).first()
+    total, largest, count = rows.agg(F.sum("size"), F.max("size"), F.count("*")).first()
     spark, total = rows.sparkSession, total or 1
     limit = max(largest or 0, total // shards // 100)
+    bounds, held = _splitters(rows, max(shards * RANGES_PER_SHARD, count // RANGE_ROWS), total, limit)
 
     starts, before = [], 0
     for r in sorted(held):
         starts.append((r, before))
         before += held[r]
-    # One row for each range: a few hundred.
+    # One row for each range.
     start_of = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "range int, range_start long"))
 
     in_range = Window.partitionBy("range").orderBy("key")
     group = Window.partitionBy("range", "group_key")
     begin = F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, -1))
     placed = (
-        rows.withColumn("range", _range_of(F.col("key"), bounds))
+        rows.withColumn("range", range_of(spark, F.col("key"), bounds))
         .join(start_of, "range")
         .withColumn("begin", F.col("range_start") + F.coalesce(begin, F.lit(0)))
         .withColumn("group_bytes", F.sum("size").over(group))

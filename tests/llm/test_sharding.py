@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from llm import sharding
 from llm.sharding import shard_records, write_shards
 
 
@@ -80,3 +81,22 @@ def test_query_columns(spark, sf_dir):
     got = out.collect()
     assert all(r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) and r.size == len(docs[r.doc_id].encode()) + 16 for r in got)
     assert sorted(r.doc_id for r in got) == sorted(docs)
+
+
+def test_many_ranges_keep_the_law_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 15)
+    monkeypatch.setattr(sharding, "SAMPLE", 100)
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i // 5} ") for i in range(3000)] + [(3000, "long " * 60)]
+    out = shard_records(records(spark, rows), 6).collect()
+    check(rows, 6, out)
+    text, shards = dict(rows), defaultdict(set)
+    for r in out:
+        shards[text[r.id]].add(r.shard)
+    assert all(len(s) == 1 for t, s in shards.items() if t != "hot text") and len(shards["hot text"]) > 1
+
+
+def test_sampled_keys_are_bounded_and_follow_sizes(spark):
+    rows = spark.range(20000).select(F.concat(F.lit("k"), F.lpad("id", 6, "0")).alias("key"), F.when(F.col("id") < 10000, 9).otherwise(1).alias("size"))
+    keys = sharding._weighted_keys(rows, 1000, 100000, 1)
+    assert 800 <= len(keys) <= 1000 and len(set(keys)) == len(keys)
+    assert 0.85 < sum(k < "k010000" for k in keys) / len(keys) < 0.95
