@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import landed
+from llm.common import hash_sample, landed, range_of
 
 #: A file is closed once it holds this many compressed bytes.
 ROLL_BYTES = 64 << 20
 #: Bytes of payload in a range, and ids drawn for the splitters.
 RANGE_BYTES = 8 << 20
-SAMPLE = 8192
+SAMPLE, IDS_PER_PART = 8192, 24
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -125,9 +125,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterato
 
 
 def _splitters(pages: DataFrame, id_col: str, parts: int) -> list:
-    """Quantiles of a bounded sample of ids that a fixed hash picks."""
-    drawn = pages.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
-    ids = sorted(r.id for r in drawn.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect())
+    """Quantiles of ids that a fixed hash picks: some for each part, in all little more than the driver asks for."""
+    drawn = pages.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    ids = sorted(r.id for r in hash_sample(drawn, max(SAMPLE, IDS_PER_PART * parts), drawn.count(), "id").collect())
     return sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
 
 
@@ -151,14 +151,15 @@ def write_warc(
     spark = pages.sparkSession
     total = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
     bounds = _splitters(pages, id_col, max(1, -(-total // range_bytes)))
-    shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    # Rows without an id go first.
+    shard = range_of(spark, F.coalesce("id", F.lit(-(1 << 63))), bounds)
     text = [F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")]
     none = F.lit(None).cast("string")
     records = pages.select(F.col(id_col).cast("long").alias("id"), *text, none.alias("digest"), F.lit(None).cast("long").alias("response"))
     repeats = revisits(pages, id_col, html_col, least_bytes).select("id", none.alias("url"), none.alias("html"), "digest", "response")
     rows = (
         records.unionByName(repeats)
-        .select(F.greatest(shard, F.lit(0)).alias("shard"), "id", "url", "html", "digest", "response")
+        .select(shard.alias("shard"), "id", "url", "html", "digest", "response")
         .repartition(len(bounds) + 1, "shard")
         .sortWithinPartitions("shard", "id", F.isnull("response"), "url", "html")
     )
