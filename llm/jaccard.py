@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import landed
+from llm.common import hash_sample, landed
 from llm.components import components
 from llm.words import Words, mix, word_slices
 
 #: Most frequent shingles that are told apart by count: 16 bytes each in every worker.
 ORDERED = 1 << 19
+#: Larger counts are not told apart when shingles are picked.
+MANY = 1 << 16
 #: A shingle with fewer copies counts as rare.
 RARE = 4
 #: Least bits of a set's parity bitmap, and bits of the bitmap of ids whose texts are read again (2 MB).
@@ -131,11 +133,28 @@ def _whole_sets(batches, k: int, wanted) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists], ["id", "tokens"])
 
 
+def _top(often: DataFrame) -> DataFrame:
+    """At most ORDERED shingles of the largest counts; of those at the border, and of counts beyond MANY, the ones a hash picks.
+
+    The counts' histogram tells where the border is, so nothing is sorted whole and one task gets no more rows than wanted.
+    """
+    count = F.least("n", F.lit(MANY))
+    # At most MANY rows.
+    sizes = sorted(((r.c, r.k) for r in often.groupBy(count.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    taken = 0
+    for c, k in sizes:
+        if taken + k > ORDERED:
+            border = hash_sample(often.where(count == c), ORDERED - taken, k, "token")
+            return often.where(count > c).union(border.select(*often.columns))
+        taken += k
+    return often
+
+
 def _order(rows: DataFrame, k: int):
     """Sorted frequent shingles and their count classes, for all workers: at most 9 bytes times ORDERED."""
     counted = rows.select("text").mapInArrow(partial(_frequent, k=k), "token long, n long")
-    often = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
-    top = often.orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
+    often = landed(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE), "often")
+    top = _top(often).toArrow()
     tokens = top.column("token").to_numpy().view(np.uint64)
     classes = np.floor(np.log2(np.maximum(top.column("n").to_numpy(), 1))).astype(np.uint8)
     by_token = np.argsort(tokens)

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from llm.components import components
+from llm import jaccard
 from llm.jaccard import linked_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,3 +71,16 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(2001, 2000), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(50)} == {1000} and got[2001] == 2000
+
+
+def test_ordering_shingles_are_the_most_frequent_and_bounded(documents, monkeypatch):
+    spark = documents([]).sparkSession
+    often = spark.createDataFrame([(t, 5 if t % 2 else 7) for t in range(4000)] + [(9000, 99)], "token long, n long")
+    monkeypatch.setattr(jaccard, "ORDERED", 3000)
+    got = [r.n for r in jaccard._top(often).collect()]
+    assert (got.count(99), got.count(7), got.count(5)) == (1, 2000, 999)
+    monkeypatch.setattr(jaccard, "MANY", 6)
+    got = [r.n for r in jaccard._top(often).collect()]
+    assert got.count(5) == 999 and len(got) == 3000
+    monkeypatch.setattr(jaccard, "ORDERED", 9000)
+    assert jaccard._top(often).count() == 4001
