@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.operators.clean import present
+from alertloom.operators.frequent import most_frequent
 from alertloom.operators.ranking import index_within
-from alertloom.session import broadcast_if_small
+from alertloom.session import broadcast_if_small, cut_lineage
 from alertloom.spec import TOP_COMMENTS
 
 NO_COMMENT = "No Comment"
@@ -39,29 +41,24 @@ def fit_labels(df: DataFrame, targets: Sequence[str], top_n: int = TOP_COMMENTS)
     """(target, class, idx, n): classes in code-point order, numbered from 0.
 
     Comment targets keep their `top_n` most frequent values (ties: smaller value
-    first); the rest becomes 'Other'. Counting is partial before the shuffle, and
-    the per-target rank is cut to `top_n` rows per task before it is sorted.
+    first); the rest becomes 'Other'. Values of the other targets are counted with a partial
+    sum before the shuffle; of comments, only those that may be frequent are.
     """
     targets = present(df, targets)
-    counts = long_values(df, targets, class_value).groupBy("target", "value").agg(
-        F.count("*").alias("n")
-    )
     comments = [t for t in targets if is_comment(t)]
-    plain = counts.where(~F.col("target").isin(*comments)) if comments else counts
-    classes = plain.select("target", F.col("value").alias("class"), "n")
+    plain = [t for t in targets if not is_comment(t)]
+    parts = []
+    if plain:
+        counts = long_values(df, plain, class_value).groupBy("target", "value").agg(F.count("*").alias("n"))
+        parts.append(counts.select("target", F.col("value").alias("class"), "n"))
     if comments:
-        classes = classes.unionByName(
-            _fold_rare(counts.where(F.col("target").isin(*comments)), top_n)
-        )
-    return index_within(classes, ["target"], ["class"], "idx").select("target", "class", "idx", "n")
+        parts.append(_fold_rare(long_values(df, comments, class_value), top_n))
+    return index_within(reduce(DataFrame.unionByName, parts), ["target"], ["class"], "idx").select("target", "class", "idx", "n")
 
 
-def _fold_rare(counts: DataFrame, top_n: int) -> DataFrame:
-    place = F.row_number().over(
-        Window.partitionBy("target").orderBy(F.desc("n"), F.asc("value"))
-    )
-    top = counts.withColumn("_place", place).where(F.col("_place") <= top_n).drop("_place")
-    totals = counts.groupBy("target").agg(F.sum("n").alias("_all"))
+def _fold_rare(rows: DataFrame, top_n: int) -> DataFrame:
+    top = most_frequent(rows, top_n)
+    totals = rows.groupBy("target").agg(F.count("*").alias("_all"))
     kept = top.groupBy("target").agg(F.sum("n").alias("_kept"))
     rest = (
         totals.join(kept, "target")
@@ -143,17 +140,11 @@ def unseen_values(df: DataFrame, labels: DataFrame, targets: Sequence[str]) -> D
 
 def reduce_cardinality(df: DataFrame, column: str, n: int = TOP_COMMENTS, other: str = OTHER) -> DataFrame:
     """Keep the `n` most frequent values (ties: smaller value first), fold the rest."""
-    top = (
-        df.groupBy(F.col(column).alias("_kept"))
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_kept").isNotNull())
-        .orderBy(F.desc("_n"), F.asc("_kept"))
-        .limit(n)
-        .select("_kept")
-    )
+    top = most_frequent(df.select(F.lit(column).alias("target"), F.col(column).alias("value")), n)
+    top = cut_lineage(top.select(F.col("value").alias("_kept")))
     value = F.when(F.col(column).isNull() | F.col("_kept").isNotNull(), F.col(column)).otherwise(other)
     return (
-        df.join(broadcast_if_small(top) if n > 10_000 else F.broadcast(top), F.col(column) == F.col("_kept"), "left")
+        df.join(broadcast_if_small(top), F.col(column) == F.col("_kept"), "left")
         .withColumn(column, value)
         .drop("_kept")
     )
@@ -173,7 +164,7 @@ def recent_training_runs(
         Window.partitionBy("model_id").orderBy(F.desc("created_at"), F.asc("training_id"))
     )
     # At most `limit` models, so only their runs are shuffled and ranked.
-    mine = runs.join(F.broadcast(newest), "model_id", "left_semi")
+    mine = runs.join(broadcast_if_small(newest), "model_id", "left_semi")
     return (
         mine.withColumn("_place", place)
         .where(F.col("_place") <= per_model)

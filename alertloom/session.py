@@ -6,13 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest table that may be sent to every executor, or ranked in one task.
 SMALL_TABLE_ROWS = 200_000
+SMALL_TABLE_BYTES = 64 << 20
 
 
 def local_session(app: str = "alertloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -97,9 +99,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def is_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> bool:
-    """True if `table` has at most `rows` rows; reads no more than `rows + 1`."""
-    return table.limit(rows + 1).count() <= rows
+def is_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS, size: int = SMALL_TABLE_BYTES) -> bool:
+    """True if `table` has at most `rows` rows and its strings at most `size` bytes; reads no more than `rows + 1` rows."""
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in table.schema if f.dataType.typeName() in ("string", "binary")]
+    held = reduce(Column.__add__, texts, F.lit(0).cast("long"))
+    found, bytes_ = table.limit(rows + 1).agg(F.count("*"), F.sum(held)).first()
+    return found <= rows and (bytes_ or 0) <= size
 
 
 def broadcast_if_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:
