@@ -129,7 +129,7 @@ _SHARE = "((CAST(1800 AS DOUBLE) / 17435) / (CAST(1800 AS DOUBLE) / 17435 + CAST
 ))
 def split_exact_proportional(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return splits.split_exact(parts, ["p_partkey"], "p_type").drop("p_type")
+    return splits.split_proportional(parts, ["p_partkey"], "p_type").drop("p_type")
 
 
 @query("W3", sql.with_ctes(

@@ -135,3 +135,12 @@ def test_mode_ties_take_the_smallest(spark):
 def test_duplicates_count_nulls_and_blanks_apart(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("a", ""), ("a", None)], "x string, y string")
     assert quality.duplicate_rows(df).first()[0] == 2
+
+
+def test_proportional_sizes_hold_beyond_the_absolute_ones(spark):
+    rows = [(k, "ab"[k % 3 == 0]) for k in range(900)]
+    df = spark.createDataFrame(rows, "k bigint, s string")
+    got = splits.split_proportional(df, ["k"], "s", train=50, validation=25, test=25)
+    assert Counter(r["split"] for r in got.collect()) == {"train": 450, "validation": 225, "test": 225}
+    want = brute_split(rows, 42, {s: [("test", n), ("validation", n), ("train", 2 * n)] for s, n in (("a", 150), ("b", 75))})
+    assert {r["k"]: r["split"] for r in got.collect()} == want
