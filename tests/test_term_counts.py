@@ -42,3 +42,36 @@ def test_slices_of_texts_add_up(monkeypatch, most):
     block = vectors.TextBlock(["a", "a a", "b a"], vectors.np.ones(3), False, (1, 2))
     places = [(int(r), int(p), float(n)) for x in block.counts(column) for r, p, n in zip(*x)]
     assert places == [(i, p, float(x.count(t))) for i, x in enumerate(found) for p, t in enumerate(block.terms) if t in x]
+
+
+ODD = ["", "a", "ab", "A_b c9 ½x", "naïve-été ǅx 𝐀𝐁 x", "日本語 テキスト", "١٢ ok.ok", "x́y zz", "😀ab😀", "two\x00words", "ends_", "İstanbul ΣΑΣ"]
+
+
+def test_words_of_texts_as_numbers(spark):
+    texts = ODD + [a + " " + b for a in ODD for b in ODD]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").repartition(3)
+    want = vectors.tokenize(df, "t", ["k"]).groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("k").alias("df"))
+    got = vectors.term_counts(df, "t", (1, 2))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # No list of words is made row by row.
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("most", [1, 2, 1 << 20])
+def test_slices_of_plain_texts(monkeypatch, most):
+    monkeypatch.setattr(vectors, "SLICE_WORDS", most)
+    texts = ["zz", "aa bb aa", "", "x", "bb", "aa " * 5, "éé aa"]
+    found = [(lo + int(r), w) for lo, words, row in vectors._word_slices(pa.array(texts).slice(1)) for w, r in zip(words.to_pylist(), row)]
+    assert found == [(i, w) for i, t in enumerate(texts[1:]) for w in t.split() if len(w) > 1]
+    block = vectors.TextBlock(["aa", "aa aa", "bb aa", "no", "no aa"], vectors.np.ones(5), False, (1, 2))
+    places = [(int(r), int(p), float(n)) for x in block.counts(pa.array(texts)) for r, p, n in zip(*x)]
+    lists = [grams([w for w in t.split() if len(w) > 1]) for t in texts]
+    assert places == [(i, p, float(x.count(t))) for i, x in enumerate(lists) for p, t in enumerate(block.terms) if t in x]
+
+
+def test_counts_of_keys_too_large_for_one_number():
+    key, row = vectors.np.array([5, 1 << 61, 5, 5]), vectors.np.array([0, 7, 0, 3])
+    for most in (1 << 62, 6):
+        kept = key < most
+        found = vectors._counted(key[kept], row[kept], most)
+        assert [list(map(int, x)) for x in found] == ([[5, 1 << 61], [3, 1], [2, 1]] if most > 6 else [[5], [3], [2]])
