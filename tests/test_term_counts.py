@@ -75,3 +75,25 @@ def test_counts_of_keys_too_large_for_one_number():
         kept = key < most
         found = vectors._counted(key[kept], row[kept], most)
         assert [list(map(int, x)) for x in found] == ([[5, 1 << 61], [3, 1], [2, 1]] if most > 6 else [[5], [3], [2]])
+
+
+@pytest.mark.parametrize("bits,proposed", [(18, 2), (12, 1), (3, 1)])
+def test_vocabulary_counts_only_terms_that_may_be_frequent(spark, monkeypatch, bits, proposed):
+    monkeypatch.setattr(vectors, "SLOT_BITS", bits)
+    monkeypatch.setattr(vectors, "PROPOSED", proposed)
+    # "all" is in too many rows, "once" in too few; rare words follow.
+    texts = [" ".join(["all", *[f"w{j}" for j in range(2, 40) if i % j == 0], f"rare{i} rarer{i}"]) for i in range(400)] + ["once " * 500, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    for sizes in ((1, 2), (1, 1), (2, 3)):
+        params, tf, rows = vectors.TextParams(max_features=12, ngrams=sizes), Counter(), Counter()
+        for t in texts:
+            found = grams((t or "").split(), sizes)
+            tf.update(found)
+            rows.update(set(found))
+        kept = [w for w in tf if 2 <= rows[w] <= 0.9 * len(texts)]
+        want = sorted(sorted(kept, key=lambda w: (-tf[w], w))[:12])
+        got = vectors.fit_tfidf(df, "t", params).orderBy("idx").collect()
+        assert [(r.term, r.tf, r.df) for r in got] == [(w, tf[w], rows[w]) for w in want]
+        if bits > 3:
+            open_ = vectors._open_slots(df, "t", params, len(texts))
+            assert vectors.term_counts(df, "t", sizes, open_=open_).count() < len(tf) / 4
