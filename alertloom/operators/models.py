@@ -200,11 +200,14 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 def fit_targets(
     train: DataFrame, spec: FeatureSpec, labels: DataFrame, k_best: int | None = None,
-    balance: bool = False,
+    balance: bool = False, features: FittedFeatures | None = None,
 ) -> AlertModel:
-    """One classifier per target, all on the same matrix; targets of one class are skipped."""
+    """One classifier per target, all on the same matrix; targets of one class are skipped.
+
+    `features` is what `fit_features` found on `train`, if it was asked before.
+    """
     targets = present(train, spec.targets)
-    features = fit_features(train, spec)
+    features = features or fit_features(train, spec)
     encoded = label_ops.encode_labels(train, labels, targets, suffix="__y")
     codes = [f"{t}__y" for t in targets]
     # The matrix is read by every booster of every target.
