@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-import zlib
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -63,18 +62,35 @@ def _word_points() -> np.ndarray:
     return np.array([chr(i) == "_" or unicodedata.category(chr(i))[0] in "LN" for i in range(0x110000)])
 
 
+#: Bytes of the code point that each byte starts; 1 for the others.
+_POINT_BYTES = np.repeat(np.array([1, 2, 3, 4, 1]), [0xC0, 0x20, 0x10, 8, 8])
+
+
+def _in_words(raw: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 is one of a code point that belongs to words."""
+    points = _word_points()
+    inside = np.append(points[:128], np.zeros(128, bool))[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    size = _POINT_BYTES[raw[lead]]
+    for n in (2, 3, 4):
+        # Code points beyond ASCII are few; only they are decoded.
+        at = lead[size == n]
+        point = raw[at].astype(np.int32) & (0xFF >> (n + 1))
+        for k in range(1, n):
+            point = point << 6 | (raw[at + k] & 0x3F)
+        belongs = points[point]
+        for k in range(n):
+            inside[at + k] = belongs
+    return inside
+
+
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """What `text.TOKEN_PATTERN` finds in lower-cased texts (no nulls), and how many words each text has."""
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = (texts.buffers()[2] or pa.py_buffer(b"")).slice(int(ends[0]), int(ends[-1] - ends[0]))
     raw, border = np.frombuffer(data, np.uint8), ends - ends[0]
-    at, points = None, raw
-    if len(raw) and raw.max() > 127:
-        # The first byte of each code point.
-        at = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))
-        points, border = np.frombuffer(data.to_pybytes().decode().encode("utf-32-le"), np.uint32), np.searchsorted(at, border)
-    inside = _word_points()[points]
+    inside = _in_words(raw)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -82,11 +98,10 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     cut = border[(border > 0) & (border < len(inside))]
     first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
-    long_ = hi - lo > 1
+    # More than one code point.
+    long_ = hi - lo > _POINT_BYTES[raw[lo]]
     lo, hi = lo[long_], hi[long_]
     counts = np.diff(np.searchsorted(lo, border))
-    if at is not None:
-        lo, hi = at[lo], at[hi]
     # Words and what lies between them, by turns.
     pieces = pa.LargeStringArray.from_buffers(max(0, 2 * len(lo) - 1), pa.py_buffer(np.stack([lo, hi], axis=1).ravel().astype(np.int64)), data)
     return pieces.take(pa.array(np.arange(0, len(pieces), 2))).cast(pa.string()), counts
@@ -166,7 +181,16 @@ class _Grams:
 
 
 def _hashes(known: pa.Array) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, known.cast(pa.binary()).to_pylist()), np.uint64, len(known))
+    """A hash of each term: its bytes as the digits of a number, modulo 2**64."""
+    known = known.cast(pa.large_binary())
+    ends = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1]
+    raw = np.frombuffer(known.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends, sizes = ends - ends[0], np.diff(ends)
+    digits = np.cumprod(np.full(sizes.max(initial=0), 0xD6E8FEB86659FD93, np.uint64))
+    # Wraps around, as is wanted.
+    sums = np.cumsum((raw + np.uint64(1)) * digits[np.arange(len(raw)) - np.repeat(ends[:-1], sizes)])
+    sums = np.concatenate([np.zeros(1, np.uint64), sums])
+    return sums[ends[1:]] - sums[ends[:-1]]
 
 
 def _gram_keys(words: pa.Array, row: np.ndarray, sizes: tuple[int, int], hashed: bool = False) -> Iterator[_Grams]:
